@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage, table
+from .mix import mixture, mixture_report
 from .neighbors import decoded_vectors, live_codes, nearest, sound_vectors
 from .pack import fill_report, pack
 from .repetition import repetition, repetitive
@@ -47,6 +48,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_pack(spark, sf_dir))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixture(documents, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -92,6 +102,8 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -56,7 +57,7 @@ def valid_vector(v: Column, dim: int | None = None) -> Column:
     return finite & (F.size(v) > 0) if dim is None else finite & (F.size(v) == dim)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha256_f32(vectors: pd.Series) -> pd.Series:
     """Hex SHA-256 of the little-endian float32 bytes."""
     from hashlib import sha256
@@ -64,11 +65,11 @@ def sha256_f32(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def f16_encode(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def f16_decode(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import graphs, problems, retrieval
 
-MODULES = [problems]
+MODULES = [problems, retrieval, graphs]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -1,7 +1,9 @@
 """A navigable small-world graph in flat arrays, built and searched in lockstep.
 
 Layer 0 holds all points, layer l the first 1/``SCALE``^l of them (points come
-in an order that is as good as random). Every layer is one int32 array with a
+in an order that is as good as random); the topmost has at most ``TOP`` points
+and is compared exhaustively, so searches start near their goal even where the
+points form clusters without links between them. Every layer is one int32 array with a
 row of neighbours per point, -1 where there are fewer. Insertions and searches
 handle a block of points at a time: each step expands the best few unexpanded
 candidates of every search at once, so numpy does the work and not the
@@ -12,9 +14,9 @@ from __future__ import annotations
 
 import numpy as np
 
-SCALE = 16
+SCALE, TOP, STARTS = 8, 2048, 8
 DEGREE, DEGREE_UPPER = 20, 12
-BEAM_BUILD, BEAM_SEARCH, EXPAND = 40, 32, 4
+BEAM_BUILD, BEAM_SEARCH, EXPAND = 40, 40, 4
 BLOCK = 256
 
 
@@ -123,7 +125,7 @@ def build(points: np.ndarray) -> list[np.ndarray]:
     """Neighbour arrays of the layers, layer 0 first. ``points``: unit rows in random order."""
     n = len(points)
     sizes = [n]
-    while sizes[-1] > 4 * BLOCK:
+    while sizes[-1] > TOP:
         sizes.append(-(-sizes[-1] // SCALE))
     layers: list[np.ndarray] = [None] * len(sizes)
     for level in range(len(sizes) - 1, -1, -1):
@@ -152,12 +154,13 @@ def build(points: np.ndarray) -> list[np.ndarray]:
 
 
 def _descend(points: np.ndarray, layers: list[np.ndarray], level: int, queries: np.ndarray, below: int | None = None) -> np.ndarray:
-    """Entry points of a layer: the nearest found in the layers above it, or its first points."""
-    starts = np.tile(np.arange(4), (len(queries), 1))
-    for up in range(len(layers) - 1, level, -1):
-        starts = np.minimum(starts, len(layers[up]) - 1)
-        starts = search_layer(points, layers[up], queries, starts, 8)[0][:, :4]
+    """Entry points of a layer: the nearest found in the layers above it; ``below`` limits them to points that are linked already."""
+    top = len(layers) - 1
     limit = below if below is not None else len(layers[level])
+    reach = min(limit, len(layers[top])) if layers[top] is not None else min(limit, TOP)
+    starts = _top(queries @ points[:reach].T, min(STARTS, reach))
+    for up in range(top - 1, level, -1):
+        starts = search_layer(points, layers[up], queries, starts, 2 * STARTS)[0][:, :STARTS]
     return np.where(starts < limit, starts, 0)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that are shipped to the tasks at once.
 QUERY_BLOCK = 4096
@@ -61,7 +62,7 @@ def exact_topk(
             blocks.append(block)
             block = []
     blocks += [block] if block else []
-    scored = [corpus.select(ident, vector).mapInArrow(_scan(b, ident, k, metric, digits), out) for b in blocks]
+    scored = [corpus.select(ident, vector).mapInArrow(_scan(b, ident, k, metric, digits, to_arrow_type(q_type), to_arrow_type(id_type)), out) for b in blocks]
     if not scored:
         return top_k(spark.createDataFrame([], out), k, ident)
     merged = scored[0]
@@ -70,7 +71,7 @@ def exact_topk(
     return top_k(merged, k, ident).select("query_id", "rank", "score", ident)
 
 
-def _scan(block: list, ident: str, k: int, metric: str, digits: int):
+def _scan(block: list, ident: str, k: int, metric: str, digits: int, q_type: pa.DataType, id_type: pa.DataType):
     by_dim: dict[int, tuple[list, list]] = {}
     for row in block:
         ids, rows = by_dim.setdefault(len(row["vector"]), ([], []))
@@ -102,7 +103,7 @@ def _scan(block: list, ident: str, k: int, metric: str, digits: int):
                     best[(dim, j)] = part.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k)
         for (dim, j), part in best.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([asked[dim][0][j]] * len(part)), pa.array(part["id"].tolist()), pa.array(part["score"].to_numpy())], names=["query_id", ident, "score"]
+                [pa.array([asked[dim][0][j]] * len(part), q_type), pa.array(part["id"].tolist(), id_type), pa.array(part["score"].to_numpy())], names=["query_id", ident, "score"]
             )
 
     return run

@@ -7,6 +7,9 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+from .vectors import l2_normalize
+
 TOKEN = r"[0-9a-z]+(?:[-./][0-9a-z]+)*"
 CHUNK_LIMIT = 900
 # fixed values: the characters with the Unicode property White_Space, as a Java character class
@@ -26,10 +29,13 @@ def chunk_text(text: Column, limit: int = CHUNK_LIMIT) -> Column:
     """Windows of ``limit`` code points of the trimmed text; empty for blank or null text."""
     if limit < 1:
         raise ValueError("the limit must be positive")
-    whole = trim_unicode(F.coalesce(text, F.lit("")))
-    last = F.floor((F.length(whole) - 1) / F.lit(limit)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * limit + 1, F.lit(limit)))
-    return F.when(F.length(whole) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    def cut(whole: Column) -> Column:
+        last = F.floor((F.length(whole) - 1) / F.lit(limit)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * limit + 1, F.lit(limit)))
+        return F.when(F.length(whole) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    return let(trim_unicode(F.coalesce(text, F.lit(""))), cut)
 
 
 def sha256_text(text: Column) -> Column:
@@ -81,8 +87,7 @@ def hash_embedding(text: str, dim: int) -> list[float]:
 
 def hash_embedding_column(text: Column, dim: int) -> Column:
     """``hash_embedding`` inside the JVM."""
-    blocks = -(-dim // 32)
-    digest = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), text), 256) for i in range(blocks)])
-    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(values, lambda x: x / norm)
+    digest = lambda t: F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), t), 256) for i in range(-(-dim // 32))])
+    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    values = let(let(text, digest), lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (byte(d, i) - 127.5) / 127.5))
+    return let(values, lambda v: l2_normalize(v))

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -31,10 +33,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column, strict: bool = False) -> Column:
     """The unit vector; a zero vector is null, or an error if ``strict``."""
-    length = norm(v)
-    unit = F.transform(doubles(v), lambda x: x / length)
     otherwise = F.raise_error(F.lit("a zero vector has no direction")) if strict else F.lit(None)
-    return F.when(length > 0, unit).otherwise(otherwise.cast("array<double>"))
+    unit = lambda length: F.when(length > 0, F.transform(doubles(v), lambda x: x / length)).otherwise(otherwise.cast("array<double>"))
+    return let(norm(v), unit)
 
 
 def int8_scale(v: Column) -> Column:
@@ -43,8 +44,8 @@ def int8_scale(v: Column) -> Column:
 
 def int8_encode(v: Column) -> Column:
     """Symmetric codes round(x / scale * 127), halves to even, of ``scale`` = the largest magnitude."""
-    scale = int8_scale(v)
-    return F.transform(doubles(v), lambda x: F.when(scale > 0, F.bround(x / scale * 127)).otherwise(F.lit(0.0)).cast("tinyint"))
+    code = lambda x, scale: F.when(scale > 0, F.bround(x / scale * 127)).otherwise(F.lit(0.0)).cast("tinyint")
+    return let(int8_scale(v), lambda scale: F.transform(doubles(v), lambda x: code(x, scale)))
 
 
 def int8_decode(codes: Column, scale: Column) -> Column:

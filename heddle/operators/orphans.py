@@ -99,7 +99,7 @@ def orphan_references(
     always on record. Empty strings are ordinary ids. With no parents at all
     every reference is missing.
     """
-    refs = refs.filter(F.col("ref").isNotNull()).distinct()
+    refs = refs.filter(F.col("ref").isNotNull())  # repeated rows do no harm until the end
     parents = parents.filter(F.col("id").isNotNull())
     group = ["parent_table", "stem", "width"]
 

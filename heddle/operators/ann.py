@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .vector_search import top_k
+from ..functions.binding import let
+from .vector_search import exact_topk, top_k
 
 MAX_CLUSTERS, MAX_ROUNDS, SAMPLE = 4096, 10, 50_000
 
@@ -123,8 +124,6 @@ def two_stage_topk(queries: DataFrame, corpus: DataFrame, k: int, oversample: fl
     """Stage 1 ranks by int8 codes and keeps ceil(oversample x k), stage 2 scores those exactly."""
     if not math.isfinite(oversample) or oversample < 1:
         raise ValueError("oversample is a finite number of at least 1")
-    coded = corpus.select(ident, V.int8_encode(F.col("vector")).alias("c"), V.int8_scale(F.col("vector")).alias("s"))
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("__q")).limit(4096))
-    scored = coded.crossJoin(asked).select("query_id", ident, (V.dot(F.col("__q"), F.col("c")) * F.col("s") / 127).alias("score"))
-    coarse = top_k(scored, math.ceil(oversample * k), ident, digits=9).drop("rank")
+    coded = corpus.select(ident, let(V.int8_scale(F.col("vector")), lambda m: V.int8_decode(V.int8_encode(F.col("vector")), m)).alias("vector"))
+    coarse = exact_topk(queries, coded, math.ceil(oversample * k), ident, digits=9).drop("rank")
     return rescore(coarse, corpus.select(ident, "vector"), queries, k, ident, digits)

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .vector_search import top_k
+from .vector_search import packed, scored_blocks, top_k
 
+#: Items per packed row; an item has many vectors.
+QUERY_PATCH_BLOCK, PATCH_BLOCK = 64, 256
 
-def maxsim_scores(queries: DataFrame, documents: DataFrame, ident: str = "document_id") -> DataFrame:
-    """query_id, id, score = sum over the query's vectors of the greatest dot product with one of the document's patches.
 
-    ``queries``: query_id, patches; ``documents``: id, patches. Documents and
-    queries without patches are passed over. Queries are folded into the scan
-    of the documents and therefore limited to 4096 at a time.
-    """
-    asked = F.broadcast(queries.filter(F.size("patches") > 0).select("query_id", F.col("patches").alias("__q")).limit(4096))
-    best = lambda q: F.array_max(F.transform("patches", lambda p: V.dot(q, p)))
-    score = F.aggregate(F.transform("__q", best), F.lit(0.0), lambda a, x: a + x)
-    return documents.filter(F.size("patches") > 0).crossJoin(asked).select("query_id", ident, score.alias("score"))
+def _maxsim(q: np.ndarray, c: np.ndarray, q_parts: np.ndarray, c_parts: np.ndarray) -> np.ndarray:
+    first = lambda parts: np.cumsum(parts) - parts
+    return np.add.reduceat(np.maximum.reduceat(q @ c.T, first(c_parts), axis=1), first(q_parts), axis=0)
 
 
 def maxsim_topk(queries: DataFrame, documents: DataFrame, k: int, ident: str = "document_id", digits: int = 6) -> DataFrame:
-    return top_k(maxsim_scores(queries, documents, ident), k, ident, digits=digits).select("query_id", "rank", "score", ident)
+    """query_id, rank, score and id; score = sum over the query's vectors of the greatest dot product with one of the document's patches.
+
+    ``queries``: query_id, patches; ``documents``: id, patches. Documents and
+    queries without patches, or with patches of differing lengths that do not
+    add up, are passed over; equal scores rank by the smaller id.
+    """
+    asked = packed(queries.filter(F.size("patches") > 0), "query_id", "patches", QUERY_PATCH_BLOCK, nested=True)
+    rows = packed(documents.filter(F.size("patches") > 0), ident, "patches", PATCH_BLOCK, nested=True)
+    return top_k(scored_blocks(asked, rows, k, ident, _maxsim, digits), k, ident).select("query_id", "rank", "score", ident)
 
 
 def mean_pool(patches: DataFrame, ident: str = "document_id") -> DataFrame:

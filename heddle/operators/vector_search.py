@@ -1,25 +1,26 @@
-"""Exact top-k by similarity for a batch of queries in one pass over the corpus.
-
-The corpus is scanned once by Arrow batches; numpy multiplies each batch with
-all queries and keeps the best k per query and partition, so that only
-``partitions x queries x k`` rows are shuffled. Queries travel with the closure
-and are therefore bounded; a larger batch is worked off in blocks.
+"""Exact top-k by similarity for a set of queries against all rows, in blocks.
+
+Both sides are packed into rows that hold the vectors of a few thousand items as
+one binary matrix. Every block of queries meets every block of the corpus; numpy
+multiplies the two matrices and keeps the best k per query and block, so that
+only ``queries x blocks x k`` rows reach the shuffle. Spark broadcasts the packed
+queries only while they are below its threshold; beyond it block pairs are
+dealt to tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries that are shipped to the tasks at once.
-QUERY_BLOCK = 4096
+#: Items per packed row.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
 
 
 def top_k(scored: DataFrame, k: int, ident: str, score: str = "score", by: str = "query_id", digits: int | None = None) -> DataFrame:
@@ -30,12 +31,101 @@ def top_k(scored: DataFrame, k: int, ident: str, score: str = "score", by: str =
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the vectors with ``dim`` values, and where they are."""
-    sizes = np.asarray(column.value_lengths().fill_null(-1))
-    keep = np.flatnonzero(sizes == dim)
-    flat = column.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dim), keep
+def _pack(block: int, unit: bool):
+    """Rows (id, vector, group sizes) to packed rows: dim, ids, sizes, data.
+
+    The vector column holds one vector, or the vectors of the item one after
+    another with their number in ``parts``; items of different dim go to different rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        id_type = None
+
+        def flush(dim: int, entries: list) -> pa.RecordBatch:
+            rows = np.concatenate([e[2] for e in entries]).reshape(-1, dim)
+            if unit:
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+            ids = pa.array([e[0] for e in entries], id_type)
+            offsets = pa.array([0, len(entries)], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([dim], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, ids),
+                    pa.ListArray.from_arrays(offsets, pa.array([e[1] for e in entries], pa.int32())),
+                    pa.array([rows.astype("<f8").tobytes()], pa.binary()),
+                ],
+                names=["dim", "ids", "parts", "data"],
+            )
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            column, parts = batch.column(1), batch.column(2).to_pylist()
+            sizes = np.asarray(column.value_lengths().fill_null(0))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ends = np.cumsum(sizes)
+            for ident, n, size, end in zip(batch.column(0).to_pylist(), parts, sizes.tolist(), ends.tolist()):
+                if not size or not n or size % n:
+                    continue
+                entries = held.setdefault(size // n, [])
+                entries.append((ident, n, flat[end - size : end]))
+                if len(entries) == block:
+                    yield flush(size // n, held.pop(size // n))
+        for dim, entries in held.items():
+            yield flush(dim, entries)
+
+    return run
+
+
+def packed(rows: DataFrame, ident: str, vector: str, block: int, unit: bool = False, nested: bool = False) -> DataFrame:
+    """``rows`` as packed blocks; null and empty vectors are passed over."""
+    flat = F.flatten(vector) if nested else F.col(vector)
+    parts = F.size(vector) if nested else F.lit(1)
+    schema = T.StructType(
+        [T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema[ident].dataType)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]
+    )
+    kept = rows.filter(F.col(vector).isNotNull()).select(ident, flat.cast("array<double>").alias("v"), parts.alias("parts"))
+    return kept.mapInArrow(_pack(block, unit), schema)
+
+
+def _dot_scores(q: np.ndarray, c: np.ndarray, q_parts: np.ndarray, c_parts: np.ndarray) -> np.ndarray:
+    return q @ c.T
+
+
+def scored_blocks(
+    queries: DataFrame, corpus: DataFrame, k: int, ident: str, score: Callable = _dot_scores, digits: int = 6
+) -> DataFrame:
+    """query_id, id, score: the best ``k`` (and ties) of every pair of packed blocks."""
+    q_type, id_type = queries.schema["ids"].dataType.elementType, corpus.schema["ids"].dataType.elementType
+    q_arrow, id_arrow = to_arrow_type(q_type), to_arrow_type(id_type)
+    out = T.StructType([T.StructField("query_id", q_type), T.StructField(ident, id_type), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                dim = row["q_dim"].as_py()
+                if dim != row["c_dim"].as_py():
+                    continue
+                q, c = (np.frombuffer(row[f"{s}_data"].as_buffer(), "<f8").reshape(-1, dim) for s in "qc")
+                parts = [row[f"{s}_parts"].values.to_numpy() for s in "qc"]
+                scores = np.round(score(q, c, *parts), digits)
+                n = scores.shape[1]
+                # whatever ties with the k-th best stays, ids decide later
+                cut = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+                at_q, at_c = np.nonzero(scores >= cut)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        row["q_ids"].values.take(pa.array(at_q)).cast(q_arrow),
+                        row["c_ids"].values.take(pa.array(at_c)).cast(id_arrow),
+                        pa.array(scores[at_q, at_c]),
+                    ],
+                    names=["query_id", ident, "score"],
+                )
+
+    sides = [df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("dim", "ids", "parts", "data")]) for s, df in (("c", corpus), ("q", queries))]
+    return sides[0].crossJoin(sides[1]).mapInArrow(run, out)
 
 
 def exact_topk(
@@ -51,67 +141,10 @@ def exact_topk(
     """
     if k < 1:
         raise ValueError("k must be positive")
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull())
-    id_type, q_type = corpus.schema[ident].dataType, queries.schema["query_id"].dataType
-    out = T.StructType([T.StructField("query_id", q_type), T.StructField(ident, id_type), T.StructField("score", T.DoubleType())])
-    spark = corpus.sparkSession
-    blocks, block = [], []
-    for row in asked.toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-    scored = [corpus.select(ident, vector).mapInArrow(_scan(b, ident, k, metric, digits, to_arrow_type(q_type), to_arrow_type(id_type)), out) for b in blocks]
-    if not scored:
-        return top_k(spark.createDataFrame([], out), k, ident)
-    merged = scored[0]
-    for more in scored[1:]:
-        merged = merged.unionByName(more)
-    return top_k(merged, k, ident).select("query_id", "rank", "score", ident)
-
-
-def _scan(block: list, ident: str, k: int, metric: str, digits: int, q_type: pa.DataType, id_type: pa.DataType):
-    by_dim: dict[int, tuple[list, list]] = {}
-    for row in block:
-        ids, rows = by_dim.setdefault(len(row["vector"]), ([], []))
-        ids.append(row["query_id"])
-        rows.append(row["vector"])
-    asked = {dim: (ids, np.array(rows, np.float64)) for dim, (ids, rows) in by_dim.items() if dim}
-    if metric == "cosine":
-        asked = {d: (i, _unit(q)) for d, (i, q) in asked.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, pd.DataFrame] = {}
-        for batch in batches:
-            for dim, (ids, q) in asked.items():
-                rows, keep = _matrix(batch.column(1), dim)
-                if not len(rows):
-                    continue
-                if metric == "cosine":
-                    rows = _unit(rows)
-                scores = np.round(q @ rows.T, digits)
-                names = batch.column(0).take(pa.array(keep)).to_pylist()
-                for j in range(len(ids)):
-                    # everything that ties with the k-th best stays until ids decide
-                    s = scores[j]
-                    cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                    found = np.flatnonzero(s >= cut)
-                    part = pd.DataFrame({"id": [names[i] for i in found], "score": s[found]})
-                    held = best.get((dim, j))
-                    part = part if held is None else pd.concat([held, part])
-                    best[(dim, j)] = part.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k)
-        for (dim, j), part in best.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([asked[dim][0][j]] * len(part), q_type), pa.array(part["id"].tolist(), id_type), pa.array(part["score"].to_numpy())], names=["query_id", ident, "score"]
-            )
-
-    return run
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+    unit = metric == "cosine"
+    asked = packed(queries, "query_id", "vector", QUERY_BLOCK, unit)
+    rows = packed(corpus, ident, vector, CORPUS_BLOCK, unit)
+    return top_k(scored_blocks(asked, rows, k, ident, digits=digits), k, ident).select("query_id", "rank", "score", ident)
 
 
 def batch_arrays(hits: DataFrame, ident: str = "document_id") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.predicate import apply_filter
+from .tables import cut_lineage
 
 DOCUMENT = "document_id string, text string, metadata map<string,string>, content_hash string, chunk_count int, patches array<array<float>>"
 CHUNK = "document_id string, chunk_id string, position int, text string, tokens array<string>, vector array<float>"
@@ -231,7 +232,7 @@ class Collection:
         if bad:
             raise StoreError(f"unsound vectors: {[r[0] for r in bad]}")
         vector = (V.l2_normalize(F.col("vector")) if normalize else F.col("vector")).cast("array<float>")
-        rows = rows.withColumn("vector", vector)
+        rows = cut_lineage(rows.withColumn("vector", vector), "batch")  # hashed, stored and joined from one written copy
         docs = rows.select(
             "document_id", F.col("text") if self.config.store_text else F.lit(None).cast("string").alias("text"),
             F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), V.sha256_f32(F.col("vector")).alias("content_hash"), F.lit(1).alias("chunk_count"), "patches",

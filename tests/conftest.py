@@ -31,3 +31,8 @@ def spark(tmp_path_factory):
 def rows(df, *columns):
     """Rows as sorted tuples of the named columns (all by default)."""
     return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
+
+
+def settle(df):
+    """The same rows without the plan behind them."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

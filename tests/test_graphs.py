@@ -6,7 +6,11 @@ from heddle.operators import graph
 from heddle.operators import temporal_graph as tg
 from heddle.sources import sync
 
-from .conftest import rows
+from .conftest import rows, settle
+
+
+def settled(tables):
+    return tg.TemporalTables(*[settle(getattr(tables, n)) for n in ("episodes", "entities", "facts", "mentions", "versions")])
 
 NODE, EDGE = "id string, type string, label string, properties string", "id string, src string, relation string, dst string, properties string"
 
@@ -33,10 +37,10 @@ def test_k_hop(spark, nodes, edges):
     assert rows(hop(2, direction="out").edges, "id") == [("1",), ("2",)]
     assert rows(hop(1).nodes, "id") == [("a",), ("b",), ("c",), ("unknown",)]
     assert rows(hop(3, direction="in").nodes, "id") == [("a",), ("b",), ("c",), ("unknown",)]
-    assert rows(hop(5, direction="out").nodes, "id", "hop")[-2:] == [("ghost", 4), ("unknown", 0)]
-    assert rows(hop(9, direction="out", relation="r").edges, "id") == [("1",), ("2",), ("4",), ("5",)]
+    assert rows(hop(4, direction="out").nodes, "id", "hop")[-2:] == [("ghost", 4), ("unknown", 0)]
+    assert rows(hop(4, direction="out", relation="r").edges, "id") == [("1",), ("2",), ("4",), ("5",)]
     assert rows(hop(3, direction="out", max_nodes=3).nodes, "id") == [("a",), ("b",), ("unknown",)]
-    assert rows(graph.k_hop(edges, ids(spark, "a"), 5, "out", node_gate=ids(spark, "a", "b", "d")).nodes, "id") == [("a",), ("b",)]
+    assert rows(graph.k_hop(edges, ids(spark, "a"), 2, "out", node_gate=ids(spark, "a", "b", "d")).nodes, "id") == [("a",), ("b",)]
     with pytest.raises(ValueError):
         hop(1, direction="up")
 
@@ -69,18 +73,18 @@ ENTITY = "id string, type string, label string, properties string, valid_at bigi
 FACT = "id string, src string, relation string, dst string, fact string, properties string, episodes array<string>, valid_at bigint, invalidates array<string>"
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def world(spark):
     t = tg.TemporalTables.empty(spark)
     t = tg.add_episodes(t, spark.createDataFrame([("e1", "s", "b", 5, 6, "{}"), ("e2", "s", "b", 3, 6, "{}")], tg.EPISODE))
     t = tg.upsert_entities(t, spark.createDataFrame([(i, "p", i, '{"k":"1","z":"%s"}' % i, 0, None) for i in "xyz"], ENTITY), 10)
-    return tg.add_facts(t, spark.createDataFrame([("f1", "x", "r", "y", "x r y", "{}", ["e1", "e2"], None, []), ("f2", "y", "r", "z", "y r z", "{}", ["e2"], 4, None)], FACT), 20)
+    return settled(tg.add_facts(t, spark.createDataFrame([("f1", "x", "r", "y", "x r y", "{}", ["e1", "e2"], None, []), ("f2", "y", "r", "z", "y r z", "{}", ["e2"], 4, None)], FACT), 20))
 
 
 def test_facts_supersede(spark, world):
     assert rows(world.facts, "id", "valid_at", "reference_time", "created_at") == [("f1", None, 3, 20), ("f2", 4, 3, 20)]
     new = spark.createDataFrame([("f3", "x", "r", "z", "x r z", "{}", ["e1"], None, ["f1"])], FACT)
-    after = tg.add_facts(world, new, 30)
+    after = settled(tg.add_facts(world, new, 30))
     assert rows(after.facts, "id", "valid_at", "invalid_at", "expired_at") == [("f1", None, 5, 30), ("f2", 4, None, None), ("f3", 5, None, None)]
     assert rows(tg.add_facts(after, new, 40).facts) == rows(after.facts)  # the same again
     for bad in (
@@ -98,7 +102,7 @@ def test_facts_supersede(spark, world):
 def test_property_lineage(spark, world):
     batch = spark.createDataFrame([("x", "p", "X", '{"k":"2","n":"new"}', 7, None)], ENTITY)
     sources = spark.createDataFrame([("x", "n", "e1")], "entity_id string, property_key string, episode_id string")
-    after = tg.upsert_entities(world, batch, 50, sources)
+    after = settled(tg.upsert_entities(world, batch, 50, sources))
     got = rows(after.versions.filter("entity_id = 'x'"), "property_key", "value", "valid_at", "invalid_at", "created_at", "expired_at", "episode_id")
     assert got == [("k", "1", 0, 7, 10, 50, None), ("k", "2", 7, None, 50, None, None), ("n", "new", 7, None, 50, None, "e1"), ("z", "x", 0, 7, 10, 50, None)]
     assert rows(after.entities.filter("id = 'x'"), "label", "created_at") == [("X", 10)]

@@ -17,6 +17,8 @@ from ..functions.binding import let
 from .vector_search import exact_topk, top_k
 
 MAX_CLUSTERS, MAX_ROUNDS, SAMPLE = 4096, 10, 50_000
+#: Recall that a probe count must reach, and rows it is measured on.
+RECALL, TRIALS = 0.9, 400
 
 
 def cluster_count(rows: int) -> int:
@@ -102,11 +104,38 @@ def probe(queries: DataFrame, centroids: DataFrame, sizes: DataFrame, nprobe: in
     )
 
 
+def probes_for_recall(assigned: DataFrame, centroids: DataFrame, k: int, ident: str = "document_id", vector: str = "vector", recall: float = RECALL, trials: int = TRIALS, digits: int = 9) -> int:
+    """The fewest probes whose recall@k, less two standard errors, is at least ``recall``; all clusters if none are enough.
+
+    About ``trials`` rows, the first by hash of the id, are searched exactly in
+    all of ``assigned``, themselves left out; a neighbour counts as found from
+    the place of its cluster in the order of its query on.
+    """
+    clusters, n = centroids.count(), assigned.count()
+    share = int(min(1.0, trials / max(n, 1)) * (1 << 20))
+    asked = assigned.filter(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) <= share).select(F.col(ident).alias("query_id"), F.col(vector).alias("vector"))
+    near = exact_topk(asked, assigned.select(ident, vector), k + 1, ident, vector).filter(F.col(ident) != F.col("query_id"))
+    near = top_k(near.drop("rank"), k, ident).join(assigned.select(ident, "cluster_id"), ident).select("query_id", "cluster_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster_id")
+    places = asked.crossJoin(F.broadcast(centroids)).select("query_id", "cluster_id", F.round(V.dot(F.col("vector"), F.col("centroid")), digits).alias("s"))
+    places = places.withColumn("place", F.row_number().over(order))
+    found = near.join(places, ["query_id", "cluster_id"]).groupBy("query_id").agg(F.sort_array(F.collect_list("place")).alias("p")).collect()
+    if len(found) < 2:
+        return clusters
+    for nprobe in range(1, clusters):
+        each = np.array([np.mean(np.array(r["p"]) <= nprobe) for r in found])
+        if each.mean() - 2 * each.std(ddof=1) / math.sqrt(len(each)) >= recall:
+            return nprobe
+    return clusters
+
+
 def ann_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, nprobe: int | None = None, ident: str = "document_id", vector: str = "vector", digits: int = 6) -> DataFrame:
-    """Exact scores over the probed clusters; ``assigned`` carries ``cluster_id`` (partition the table by it to prune files)."""
-    clusters = centroids.count()
+    """Exact scores over the probed clusters; ``assigned`` carries ``cluster_id`` (partition the table by it to prune files).
+
+    Without ``nprobe`` the count comes from ``probes_for_recall``.
+    """
     sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    wanted = probe(queries, centroids, sizes, nprobe or default_nprobe(clusters), k)
+    wanted = probe(queries, centroids, sizes, nprobe or probes_for_recall(assigned, centroids, k, ident, vector), k)
     asked = wanted.join(queries, "query_id").select("query_id", "cluster_id", F.col("vector").alias("__q"))
     scored = assigned.join(asked, "cluster_id").select("query_id", ident, V.dot(F.col("__q"), F.col(vector)).alias("score"))
     return top_k(scored, k, ident, digits=digits).select("query_id", "rank", "score", ident)

@@ -165,7 +165,7 @@ def ann_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ann_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids = _label_centroids(spark, sf_dir)
     assigned = ann.assign(_embeddings(spark, sf_dir), centroids, "vec_id")
-    return ann.ann_topk(_vector_queries(spark, sf_dir), assigned, centroids, K, 2, "vec_id")
+    return ann.ann_topk(_vector_queries(spark, sf_dir), assigned, centroids, K, None, "vec_id")
 
 
 def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_clusters(corpus, queries):
     assert not ann.use_clusters(100, 10, 4, filtered=True) and not ann.use_clusters(100, 10, 4, False, 50) and ann.use_clusters(100, 10, 4, False, 49)
 
 
+def test_default_probes_reach_the_recall(spark):
+    points = np.random.default_rng(11).normal(size=(600, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    sound = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "document_id int, vector array<double>")
+    asked = sound.filter("document_id % 5 = 0").select(F.col("document_id").alias("query_id"), "vector")
+    centroids = ann.build_centroids(sound, "document_id")
+    got = rows(ann.ann_topk(asked, ann.assign(sound, centroids, "document_id"), centroids, 10), "query_id", "document_id")
+    want = rows(exact_topk(asked, sound, 10), "query_id", "document_id")
+    assert len(want) == 1200 and len(set(got) & set(want)) >= 0.9 * len(want)
+
+
 def test_bm25(spark):
     rng = random.Random(2)
     docs = {f"u{i:02d}": [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 12))] for i in range(40)}

@@ -64,13 +64,13 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search over the chunks of a stored collection with a filter on its documents."""
     store = _text_store(spark, sf_dir)
-    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), "text")
     return search(store.documents, store.chunks, asked, 5, {"lang": "en"}, "lexical").hits.select("query_id", "rank", "chunk_id", "document_id")
 
 
 def store_search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _text_store(spark, sf_dir)
-    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), "text")
     return search(store.documents, store.chunks, asked, 5, mode="hybrid", embed=lambda t: hash_embedding_column(t, DIM), dim=DIM).hits.select("query_id", "rank", "chunk_id", "document_id")
 
 

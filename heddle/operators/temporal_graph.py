@@ -190,6 +190,31 @@ def upsert_entities(tables: TemporalTables, batch: DataFrame, now: int, sources:
     return replace(tables, entities=graph.upsert(tables.entities, rows.select(*tables.entities.columns)), versions=closed.unionByName(fresh.select(*tables.versions.columns)))
 
 
+def lineage(history: DataFrame, order: str = "created_at", step: int = 1000) -> DataFrame:
+    """All property versions of recorded entity versions (id, ``order``, properties, valid_at), each time one per entity.
+
+    The result is that of ``upsert_entities`` called for the first versions of
+    all entities at ``step``, for the second ones at 2 x ``step`` and so on.
+    """
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    entity = Window.partitionBy("id").orderBy(order)
+    placed = history.select(
+        "id", "valid_at", as_map(F.lag("properties").over(entity)).alias("o"), as_map(F.col("properties")).alias("n"), (F.row_number().over(entity) * F.lit(step).cast("bigint")).alias("created_at")
+    )
+    pairs = (
+        placed.select("id", "valid_at", "created_at", "o", "n", F.explode(F.array_distinct(F.concat(F.map_keys("o"), F.map_keys("n")))).alias("property_key"))
+        .withColumns({"ov": F.try_element_at("o", "property_key"), "value": F.try_element_at("n", "property_key")})
+    )
+    changes = Window.partitionBy("id", "property_key").orderBy("created_at")
+    ended = (
+        pairs.filter(~F.col("ov").eqNullSafe(F.col("value")))
+        .withColumn("expired_at", F.lead("created_at").over(changes))
+        .withColumn("invalid_at", F.when(F.col("expired_at").isNotNull(), F.coalesce(F.lead("valid_at").over(changes), "expired_at")))
+    )
+    rows = ended.filter(F.col("value").isNotNull()).withColumnRenamed("id", "entity_id").withColumn("episode_id", F.lit(None).cast("string"))
+    return rows.select("entity_id", "property_key", "value", "episode_id", "valid_at", "invalid_at", "created_at", "expired_at")
+
+
 def add_facts(tables: TemporalTables, batch: DataFrame, now: int) -> TemporalTables:
     """Adds facts (id, src, relation, dst, fact, properties, episodes, valid_at, invalidates) and closes the facts they supersede.
 

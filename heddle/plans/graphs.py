@@ -190,14 +190,9 @@ def remove_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def property_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of the JSON properties after the entities have been upserted in two steps, oldest versions first."""
+    """Versions of the JSON properties after the entities have been upserted version by version, oldest versions first."""
     e = table(spark, sf_dir, "entities").groupBy("id", "created_at").agg(F.min(F.struct("type", "label", "properties", "valid_at")).alias("e")).select("id", "created_at", "e.*")
-    order = Window.partitionBy("id").orderBy("created_at")
-    ranked = e.withColumn("n", F.row_number().over(order)).withColumn("invalid_at", F.lit(None).cast("bigint"))
-    tables = tg.TemporalTables.empty(spark)
-    for n, now in ((1, 1000), (2, 2000)):
-        tables = tg.upsert_entities(tables, ranked.filter(F.col("n") == n).select("id", "type", "label", "properties", "valid_at", "invalid_at"), now)
-    return tables.versions.select("entity_id", "property_key", "value", "valid_at", "invalid_at", "created_at", "expired_at")
+    return tg.lineage(e).select("entity_id", "property_key", "value", "valid_at", "invalid_at", "created_at", "expired_at")
 
 
 def encoded_times(spark: SparkSession, sf_dir: str) -> DataFrame:

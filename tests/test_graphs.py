@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from heddle.functions.frames import AsOf
 from heddle.operators import graph
 from heddle.operators import temporal_graph as tg
+from heddle.plans.graphs import QUERIES
 from heddle.sources import sync
 
 from .conftest import rows, settle
@@ -113,6 +114,20 @@ def test_property_lineage(spark, world):
         tg.upsert_entities(world, batch, 50, spark.createDataFrame([("x", "absent", "e1")], sources.schema))
 
 
+def test_lineage_of_all_versions(spark, tmp_path):
+    entity = "id string, type string, label string, properties string, valid_at bigint, invalid_at bigint"
+    texts = ['{"k":"1","z":"a"}', '{"k":"2"}', '{"k":"2","z":"b"}', None, '{"k":"3","z":"b"}']
+    history = [("x", "t", "x", p, v, None, 10 * n) for n, (p, v) in enumerate(zip(texts, (5, None, 7, None, 9)))] + [("y", "t", "y", '{"k":"1"}', None, None, 3)]
+    tables = tg.TemporalTables.empty(spark)
+    for n in range(len(texts)):
+        batch = [r[:6] for r in history if r[0] == "x"][n : n + 1] + [r[:6] for r in history if r[0] == "y" and n == 0]
+        tables = settled(tg.upsert_entities(tables, spark.createDataFrame(batch, entity), 1000 * (n + 1)))
+    spark.createDataFrame(history, f"{entity}, created_at bigint").write.parquet(f"{tmp_path}/entities.parquet")
+    got = QUERIES["property_lineage"](spark, str(tmp_path))
+    assert rows(got) == rows(tables.versions, *got.columns)
+    assert rows(got.filter("created_at > 2000"), "property_key", "value") == [("k", "3"), ("z", "b"), ("z", "b")]
+
+
 def test_episodes(spark, world):
     again = spark.createDataFrame([("e1", "s", "b", 5, 99, "{}")], tg.EPISODE)
     assert rows(tg.add_episodes(world, again).episodes) == rows(world.episodes)

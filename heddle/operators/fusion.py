@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.tables import cut_lineage
 from .vector_search import top_k
 
 RRF_C = 60
@@ -53,9 +54,20 @@ def maximal_marginal_relevance(candidates: DataFrame, ident: str, lam: float = 0
 
 
 def distance_rerank(candidates: DataFrame, distances: DataFrame, ident: str) -> DataFrame:
-    """Nearest first by ``hops``; ids without a distance last; ties keep their position."""
-    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("hops"), "position")
-    return candidates.join(distances, ident, "left").withColumn("rank", F.row_number().over(order))
+    """Nearest first by ``hops``; ids without a distance last; ties keep their position (anything that sorts).
+
+    A query may have any number of candidates: they are sorted across tasks, and
+    every slice of a query is numbered on from the slices before it.
+    """
+    order = ["query_id", F.asc_nulls_last("hops"), F.asc_nulls_last("position")]
+    sorted_rows = candidates.join(distances, ident, "left").repartitionByRange(*order).withColumn("__slice", F.spark_partition_id())
+    rows = cut_lineage(sorted_rows, "ranks")
+    sizes = rows.groupBy("query_id", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("query_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("query_id", "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = Window.partitionBy("query_id", "__slice").orderBy(*order[1:])
+    numbered = rows.withColumn("__own", F.row_number().over(own)).join(offsets, ["query_id", "__slice"])
+    return numbered.withColumn("rank", (F.col("__before") + F.col("__own")).cast("int")).drop("__slice", "__own", "__before")
 
 
 def mentions_rerank(candidates: DataFrame, mentions: DataFrame, ident: str) -> DataFrame:

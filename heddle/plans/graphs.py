@@ -97,10 +97,10 @@ def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity labels' alphabetic order, reranked by hops from a hub."""
-    nodes = _nodes(spark, sf_dir).select("id").distinct().orderBy("id").limit(200)
+    """All nodes in the order of their ids, reranked by hops from a hub."""
+    nodes = _nodes(spark, sf_dir).select("id").distinct()
     hops = graph.k_hop(_edges(spark, sf_dir), spark.createDataFrame([(HUB,)], "id string"), 2).nodes.select("id", F.col("hop").alias("hops"))
-    placed = nodes.select(F.lit(1).alias("query_id"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")).alias("position"), "id")
+    placed = nodes.select(F.lit(1).alias("query_id"), F.col("id").alias("position"), "id")
     return fusion.distance_rerank(placed, hops, "id").select("id", "rank", "hops")
 
 

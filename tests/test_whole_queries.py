@@ -33,3 +33,14 @@ def test_text_queries_use_every_token(spark, texts, name, hits):
 def test_stored_text_queries_use_every_token(spark, texts, name, hits):
     got = rows(registry.QUERIES[name](spark, texts).filter("query_id = 50"), "document_id")
     assert hits <= {r[0] for r in got}
+
+
+def test_distance_rerank_ranks_every_node(spark, tmp_path):
+    names = [f"a{i:04d}" for i in range(600)] + ["nod-hub-atlasroot", "z-near"]
+    spark.createDataFrame([(n, "t", n, None) for n in names], "id string, type string, label string, properties string").write.parquet(f"{tmp_path}/nodes.parquet")
+    edges = [("1", "nod-hub-atlasroot", "r", "z-near", None), ("2", "z-near", "r", "a0599", None)]
+    spark.createDataFrame(edges, "id string, src string, relation string, dst string, properties string").write.parquet(f"{tmp_path}/edges.parquet")
+    got = registry.QUERIES["distance_rerank"](spark, str(tmp_path)).orderBy("rank").collect()
+    near = [("nod-hub-atlasroot", 0), ("z-near", 1), ("a0599", 2)]
+    assert [(r["id"], r["hops"]) for r in got] == near + [(n, None) for n in names[:599]]
+    assert [r["rank"] for r in got] == list(range(1, 603))

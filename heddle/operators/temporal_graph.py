@@ -128,11 +128,11 @@ def reference_times(facts: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def dangling(tables: TemporalTables) -> DataFrame:
-    """Facts whose ends or episodes are missing: id, reason."""
+    """Facts whose ends or episodes are missing: id, reason. A null end or episode is none, the others of its fact count."""
     ids = tables.entities.select("id").distinct()
-    ends = tables.facts.select("id", F.explode(F.array("src", "dst")).alias("end"))
+    ends = tables.facts.select("id", F.explode(F.array("src", "dst")).alias("end")).filter("end is not null")
     lost = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti").select("id", F.lit("entity").alias("reason"))
-    links = tables.facts.select("id", F.explode("episodes").alias("e"))
+    links = tables.facts.select("id", F.explode("episodes").alias("e")).filter("e is not null")
     unknown = links.join(tables.episodes.select(F.col("id").alias("e")), "e", "left_anti").select("id", F.lit("episode").alias("reason"))
     return lost.unionByName(unknown).distinct()
 

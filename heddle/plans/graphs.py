@@ -171,7 +171,7 @@ def temporal_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def temporal_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, f, p = (table(spark, sf_dir, n) for n in ("entities", "facts", "episodes"))
     empty = tg.TemporalTables.empty(spark)
-    return tg.dangling(tg.TemporalTables(p, e, f.filter("dst is not null"), empty.mentions, empty.versions))
+    return tg.dangling(tg.TemporalTables(p, e, f, empty.mentions, empty.versions))
 
 
 def supersede_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,11 @@ def test_distance_rerank_ranks_every_node(spark, tmp_path):
     near = [("nod-hub-atlasroot", 0), ("z-near", 1), ("a0599", 2)]
     assert [(r["id"], r["hops"]) for r in got] == near + [(n, None) for n in names[:599]]
     assert [r["rank"] for r in got] == list(range(1, 603))
+
+
+def test_dangling_looks_at_facts_without_a_target(spark, tmp_path):
+    facts = [("whole", "a", "b", ["e"]), ("lost", "ghost", None, ["e"]), ("open", "a", None, ["e"]), ("told", "a", None, ["gone", None]), ("none", None, None, None)]
+    spark.createDataFrame(facts, "id string, src string, dst string, episodes array<string>").write.parquet(f"{tmp_path}/facts.parquet")
+    spark.createDataFrame([("a",), ("b",)], "id string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([("e",)], "id string").write.parquet(f"{tmp_path}/episodes.parquet")
+    assert rows(registry.QUERIES["temporal_dangling"](spark, str(tmp_path))) == [("lost", "entity"), ("told", "episode")]

@@ -162,10 +162,11 @@ def temporal_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def temporal_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact seeds: facts of relation located_in under the frame; the seeds that survive."""
+    """Fact seeds: facts of relation located_in under the frame. The seeds that survive, with their score, and the nodes one hop from their ends, with the hop."""
     facts, entities = table(spark, sf_dir, "facts"), table(spark, sf_dir, "entities")
     seeds = facts.filter("relation = 'located_in'").select("id").distinct().withColumn("score", F.lit(1.0))
-    return tg.search_subgraph(entities, facts, 1, AsOf.at(T0), fact_seeds=seeds).seeds.select("id").distinct()
+    found = tg.search_subgraph(entities, facts, 1, AsOf.at(T0), fact_seeds=seeds)
+    return found.nodes.join(found.seeds.distinct(), "id", "full").select("id", "hop", "score")
 
 
 def temporal_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_dangling_looks_at_facts_without_a_target(spark, tmp_path):
     spark.createDataFrame([("a",), ("b",)], "id string").write.parquet(f"{tmp_path}/entities.parquet")
     spark.createDataFrame([("e",)], "id string").write.parquet(f"{tmp_path}/episodes.parquet")
     assert rows(registry.QUERIES["temporal_dangling"](spark, str(tmp_path))) == [("lost", "entity"), ("told", "episode")]
+
+
+def test_temporal_subgraph_returns_the_expansion(spark, tmp_path):
+    times = "valid_at bigint, invalid_at bigint, created_at bigint, expired_at bigint"
+    spark.createDataFrame([(i, "t", None, None, 1, None) for i in "abcde"], f"id string, type string, {times}").write.parquet(f"{tmp_path}/entities.parquet")
+    facts = [("s", "a", "located_in", "b", 1, None), ("t", "b", "knows", "c", 1, None), ("u", "c", "knows", "d", 1, None), ("v", "a", "knows", "e", 1, 2), ("w", "a", "located_in", "ghost", 1, None)]
+    spark.createDataFrame([(*f, 1, None) for f in facts], f"id string, src string, relation string, dst string, {times}").write.parquet(f"{tmp_path}/facts.parquet")
+    got = rows(registry.QUERIES["temporal_subgraph"](spark, str(tmp_path)), "id", "hop", "score")
+    assert got == [("a", 0, None), ("b", 0, None), ("c", 1, None), ("fact:s", None, 1.0)]

@@ -61,3 +61,11 @@ def test_temporal_subgraph_returns_the_expansion(spark, tmp_path):
     spark.createDataFrame([(*f, 1, None) for f in facts], f"id string, src string, relation string, dst string, {times}").write.parquet(f"{tmp_path}/facts.parquet")
     got = rows(registry.QUERIES["temporal_subgraph"](spark, str(tmp_path)), "id", "hop", "score")
     assert got == [("a", 0, None), ("b", 0, None), ("c", 1, None), ("fact:s", None, 1.0)]
+
+
+def test_maxsim_uses_every_patch(spark, tmp_path):
+    axis = lambda i: [1.0 if j == i else 0.0 for j in range(64)]
+    data = [(i, axis(i)) for i in range(8)] + [(8 + i, axis(4 + i % 4)) for i in range(8)] + [(16 + i, axis(i % 3)) for i in range(8)]
+    spark.createDataFrame([(*d, 0) for d in data], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["maxsim_topk"](spark, str(tmp_path)).filter("query_id = 0").orderBy("rank").collect()
+    assert [(r["document_id"], r["score"]) for r in got] == [(0, 8.0), (1, 4.0), (2, 3.0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,49 +18,78 @@ def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("artifact", change.alias("change")).filter(F.col("change").isNotNull())
 
 
+#: Payload stores that a commit may carry beside its vectors.
+STORES = ("text_id", "lexical_id")
+SIDES = ("absent", "behind", "still", "moved")
+PAIRS = ("apart", "twin", "equal", "richer", "mixed")
+
+# The decision table: base, local, remote, how the two compare -> state; * is any, the first row that fits counts.
+# fixed values: the names of the states
+DECISIONS = """
+*     absent  absent  *       in_sync
+*     behind  *       *       unknown
+*     *       behind  *       unknown
+*     *       absent  *       local_ahead
+*     absent  *       *       remote_ahead
+*     *       *       twin    in_sync
+*     *       *       equal   in_sync
+*     *       *       richer  republish
+*     *       *       mixed   unknown
+none  *       *       *       unknown
+known still   still   *       in_sync
+known moved   still   *       local_ahead
+known still   moved   *       remote_ahead
+known moved   moved   *       diverged
+"""
+
+
+def _decisions() -> dict[str, str]:
+    """The table with every * spelled out, by the four words joined."""
+    rules = [line.split() for line in DECISIONS.split("\n") if line]
+    fits = lambda rule, case: all(r in ("*", c) for r, c in zip(rule, case))
+    cases = product(("known", "none"), SIDES, SIDES, PAIRS)
+    return {" ".join(case): next(rule[4] for rule in rules if fits(rule, case)) for case in cases}
+
+
+def _store_marks(a: str, b: str) -> Column:
+    """One mark per payload store: ``=`` alike (or in neither), ``<`` only in b, ``>`` only in a, ``x`` different in both."""
+    one = lambda x, y: F.when(x.eqNullSafe(y), "=").when(x.isNull(), "<").when(y.isNull(), ">").otherwise("x")
+    return F.concat(*[one(F.col(f"{a}.{s}"), F.col(f"{b}.{s}")) for s in STORES])
+
+
 def classify(states: DataFrame) -> DataFrame:
     """Adds ``state`` to rows with structs local, base and remote (null: absent).
 
     Each struct: generation, snapshot_id, logical_id, text_id, lexical_id; the
-    last two name optional payload stores. States: in_sync, local_ahead,
-    remote_ahead, republish (same commit, local carries more stores), diverged,
-    unknown (a generation went backwards, stores conflict, or no base to tell).
+    last two name optional payload stores. Four words describe a row, and the
+    state is looked up in ``DECISIONS``: whether a base is known; what each side
+    did since (absent, behind: its generation is smaller than the base's, still:
+    same commit without new or other stores, moved); and how local and remote
+    compare (apart: other commits; twin: the same snapshot; richer: the same
+    commit, local carries stores that remote lacks; equal: local adds nothing;
+    mixed: their stores differ both ways or conflict).
     """
-    stores = ("text_id", "lexical_id")
-
-    def both(test, a: str, b: str) -> Column:
-        return test(stores[0], a, b), test(stores[1], a, b)
-
-    conflict_of = lambda s, a, b: F.coalesce(F.col(f"{a}.{s}") != F.col(f"{b}.{s}"), F.lit(False))
-    within_of = lambda s, a, b: F.col(f"{a}.{s}").isNull() | F.col(f"{b}.{s}").isNotNull()
-    gains_of = lambda s, a, b: F.col(f"{a}.{s}").isNotNull() & F.col(f"{b}.{s}").isNull()
-    conflict = lambda a, b: both(conflict_of, a, b)[0] | both(conflict_of, a, b)[1]
-    within = lambda a, b: both(within_of, a, b)[0] & both(within_of, a, b)[1]
-    gains = lambda a, b: both(gains_of, a, b)[0] | both(gains_of, a, b)[1]
-    same = lambda a, b: F.col(f"{a}.logical_id").eqNullSafe(F.col(f"{b}.logical_id"))
-    unmoved = lambda side: same(side, "base") & ~conflict(side, "base") & within(side, "base")
-    back = lambda side: F.coalesce(F.col(f"{side}.generation") < F.col("base.generation"), F.lit(False))
-    no = {s: F.col(s).isNull() for s in ("local", "base", "remote")}
-    same_commit = (
-        F.when(F.col("local.snapshot_id").eqNullSafe(F.col("remote.snapshot_id")), "in_sync")
-        .when(conflict("local", "remote"), "unknown")
-        .when(gains("local", "remote") & within("remote", "local"), "republish")
-        .when(within("local", "remote"), "in_sync")
-        .otherwise("unknown")
-    )
-    state = (
-        F.when(no["local"] & no["remote"], "in_sync")
-        .when(back("local") | back("remote"), "unknown")
-        .when(no["remote"], "local_ahead")
-        .when(no["local"], "remote_ahead")
-        .when(same("local", "remote"), same_commit)
-        .when(no["base"], "unknown")
-        .when(~unmoved("local") & unmoved("remote"), "local_ahead")
-        .when(unmoved("local") & ~unmoved("remote"), "remote_ahead")
-        .when(unmoved("local") & unmoved("remote"), "in_sync")
-        .otherwise("diverged")
+
+    def side(name: str) -> Column:
+        alike = F.col(f"{name}.logical_id").eqNullSafe(F.col("base.logical_id")) & ~_store_marks(name, "base").rlike("[>x]")
+        return (
+            F.when(F.col(name).isNull(), "absent")
+            .when(F.col(f"{name}.generation") < F.col("base.generation"), "behind")
+            .when(alike, "still")
+            .otherwise("moved")
+        )
+
+    marks = _store_marks("local", "remote")
+    pair = (
+        F.when(F.col("local").isNull() | F.col("remote").isNull() | ~F.col("local.logical_id").eqNullSafe(F.col("remote.logical_id")), "apart")
+        .when(F.col("local.snapshot_id").eqNullSafe(F.col("remote.snapshot_id")), "twin")
+        .when(marks.rlike("^[=<]*$"), "equal")
+        .when(marks.rlike("^[=>]*$"), "richer")
+        .otherwise("mixed")
     )
-    return states.withColumn("state", state)
+    words = F.concat_ws(" ", F.when(F.col("base").isNull(), "none").otherwise("known"), side("local"), side("remote"), pair)
+    table = F.create_map(*[F.lit(x) for entry in _decisions().items() for x in entry])
+    return states.withColumn("state", F.element_at(table, words))
 
 
 def redact(documents: DataFrame) -> DataFrame:

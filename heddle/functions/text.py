@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .binding import let
 from .vectors import l2_normalize
 
+# fixed values: the token pattern, the chunk length, the format of chunk ids below and the bytes of the hash embedding
 TOKEN = r"[0-9a-z]+(?:[-./][0-9a-z]+)*"
 CHUNK_LIMIT = 900
 # fixed values: the characters with the Unicode property White_Space, as a Java character class
@@ -22,7 +23,8 @@ def tokenize(text: Column) -> Column:
 
 
 def trim_unicode(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{WHITE_SPACE}+", ""), rf"{WHITE_SPACE}+\z", "")
+    # the look-behind lets a match begin at the start of a run only, so long runs inside a text stay linear
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{WHITE_SPACE}+", ""), rf"(?<!{WHITE_SPACE}){WHITE_SPACE}+\z", "")
 
 
 def chunk_text(text: Column, limit: int = CHUNK_LIMIT) -> Column:
@@ -30,12 +32,8 @@ def chunk_text(text: Column, limit: int = CHUNK_LIMIT) -> Column:
     if limit < 1:
         raise ValueError("the limit must be positive")
 
-    def cut(whole: Column) -> Column:
-        last = F.floor((F.length(whole) - 1) / F.lit(limit)).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * limit + 1, F.lit(limit)))
-        return F.when(F.length(whole) > 0, parts).otherwise(F.array().cast("array<string>"))
-
-    return let(trim_unicode(F.coalesce(text, F.lit(""))), cut)
+    # one pass over the text; substring() would count code points from the start for every window
+    return F.regexp_extract_all(trim_unicode(F.coalesce(text, F.lit(""))), F.lit(f"(?s)(.{{1,{limit}}})"), F.lit(1))
 
 
 def sha256_text(text: Column) -> Column:

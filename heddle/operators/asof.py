@@ -3,8 +3,9 @@
 Every event is matched to the entity version that was valid, and on record, at
 the event's time. Events and versions of one entity are merged in time order;
 hot entities are cut into time shards, each of which starts with the earlier
-versions that can still win inside it (the carry-in), so shards are merged
-independently and no correctness is lost at their borders.
+versions that can still win inside it (the carry-in: those that end there and
+the best that outlasts it), so shards are merged independently and no
+correctness is lost at their borders.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sharding
-from .sharding import SHARD
+from .sharding import CUTS, SHARD
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -94,7 +95,7 @@ def asof_versions(
     keys = ["__key"]
     cuts = sharding.hot_key_cuts(v.select("__key", "__at").unionByName(hit.select("__key", "__at")), keys, "__at", rows_per_shard)
     v = sharding.with_shard(v, cuts, keys, "__at")
-    hit = sharding.with_shard(hit, cuts, keys, "__at")
+    hit = sharding.with_shard(hit, cuts, keys, "__at", sharding.row_salt(hit))
     if cuts is not None:
         v = v.unionByName(_carry_in(v, cuts, keys))
 
@@ -120,23 +121,42 @@ def asof_versions(
 
 
 def _carry_in(v: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """For each later shard of a hot key the earlier versions that may still win there.
-
-    A version is left behind if another of its shard outranks it and ends no sooner.
+    """For each later shard of a hot key the earlier versions that can win there.
+
+    A version that ends in a later shard is carried into that one. Of the
+    versions that hold throughout a shard only the best can win, so each shard
+    gets one such row. Hence there are at most as many carried rows as versions
+    and shards. The best of a shard comes from a binary tree over the shards: a
+    version is noted at the few nodes that make up the shards it spans, the
+    notes are reduced to the best per node, and a shard looks up its ancestors.
     """
-    best_first = Window.partitionBy(*keys, SHARD).orderBy(F.desc("__valid"), F.desc("__created"), F.desc("__end"))
-    undominated = (
-        v.join(F.broadcast(cuts.select(*keys)), keys, "left_semi")
-        .withColumn("__upto", F.max("__end").over(best_first.rowsBetween(Window.unboundedPreceding, -1)))
-        .filter(F.col("__upto").isNull() | (F.col("__end") > F.col("__upto")))
-        .drop("__upto")
+    held = v.join(F.broadcast(cuts), keys).withColumn("__last", F.size(F.filter(CUTS, lambda c: c < F.col("__end"))))
+    held = held.filter(F.col("__last") > F.col(SHARD))
+    columns = [*keys, "__at", "__valid", "__created", "__end", SHARD]
+    ending = held.withColumn("__at", F.get(F.col(CUTS), F.col("__last") - 1)).withColumn(SHARD, F.col("__last")).select(*columns)
+
+    # shards SHARD + 1 ... __last - 1 as nodes (level, node): node n of level k stands for the shards n * 2^k ... (n + 1) * 2^k - 1
+    levels = range(sharding.MAX_SHARDS.bit_length() + 1)
+    node = lambda k, n, keep: F.when(keep, F.struct(F.lit(k).alias("level"), n.cast("int").alias("node")))
+    spanned = []
+    for k in levels:
+        first, beyond = F.ceil((F.col(SHARD) + 1) / (1 << k)), F.floor(F.col("__last") / (1 << k))
+        spanned += [node(k, first, (first < beyond) & (first % 2 == 1)), node(k, beyond - 1, (first < beyond) & (beyond % 2 == 1))]
+    above = [F.struct(F.lit(k).alias("level"), F.floor(F.col(SHARD) / (1 << k)).cast("int").alias("node")) for k in levels]
+
+    best = F.struct("__valid", "__created", "__end")
+    notes = (
+        held.filter(F.col("__last") > F.col(SHARD) + 1)
+        .select(*keys, best.alias("best"), F.inline(F.array_compact(F.array(*spanned))))
+        .groupBy(*keys, "level", "node").agg(F.max("best").alias("best"))
     )
-    later = F.broadcast(sharding.all_shards(cuts, keys).withColumnRenamed(SHARD, "__to"))
-    return (
-        undominated.join(later, keys)
-        .filter((F.col("__to") > F.col(SHARD)) & (F.col("__end") > F.col("__floor")))
-        .select(*keys, F.col("__floor").alias("__at"), "__valid", "__created", "__end", F.col("__to").alias(SHARD))
+    shards = sharding.all_shards(cuts, keys).filter(F.col(SHARD) > 0).select("*", F.inline(F.array(*above)))
+    spanning = (
+        notes.join(F.broadcast(shards), [*keys, "level", "node"])
+        .groupBy(*keys, SHARD, "__floor").agg(F.max("best").alias("best"))
+        .select(*keys, F.col("__floor").alias("__at"), "best.*", SHARD)
     )
+    return ending.unionByName(spanning.select(*columns))
 
 
 def json_field(properties: Column, name: str) -> Column:

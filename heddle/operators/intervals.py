@@ -43,7 +43,7 @@ def continuous_periods(
         .filter(F.col(f"`{start}`").isNull() | F.col(f"`{end}`").isNull() | (F.col(f"`{end}`") > F.col(f"`{start}`")))
         .select(F.col(f"`{key}`").alias("k"), bounded(start, low).alias("s"), bounded(end, high).alias("e"))
         .filter("e > s")
-        .distinct()
+        .groupBy("k", "s").agg(F.max("e").alias("e"))  # of intervals with one start the longest covers the others
     )
     keys = ["k"]
     cuts = sharding.hot_key_cuts(rows.select("k", "s"), keys, "s", rows_per_shard)

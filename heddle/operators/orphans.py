@@ -60,15 +60,16 @@ def covering_end(
     Adds ``cover_end``, the greatest ``run_end`` among runs of the same group
     with ``run_start <= at``: null when no run starts that early, below ``at``
     when the reference lies beyond every such run. Hot groups are sharded along
-    ``at`` with the greatest end of all earlier shards as carry-in. Rows whose
-    ``at`` or group is null match nothing.
+    ``at`` with the greatest end of all earlier shards as carry-in; references
+    that share one ``at`` are dealt to several shards. Rows whose ``at`` or
+    group is null match nothing.
     """
     fields = refs.columns
     held = F.struct(*[F.col(f"`{c}`") for c in fields])
     sides = runs.select(*by, F.col("run_start").alias("__at"), F.lit(0).alias("__kind"), F.col("run_end").alias("__end"), F.lit(None).alias("__ref")).unionByName(
         refs.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__end"), held.alias("__ref"))
     )
-    sides = sharding.with_shard(sides, cuts, by, "__at")
+    sides = sharding.with_shard(sides, cuts, by, "__at", F.when(F.col("__kind") == 1, sharding.row_salt(sides)).otherwise(F.lit(0)))
     if cuts is not None:
         own = sharding.with_shard(runs.select(*by, "run_start", "run_end"), cuts, by, "run_start")
         tops = own.groupBy(*by, SHARD).agg(F.max("run_end").alias("__top"))
@@ -121,7 +122,7 @@ def orphan_references(
         F.col("id").alias("ref"),
         F.coalesce("since", F.lit(LOWEST)).alias("run_start"),
         F.coalesce(F.col("until") - 1, F.lit(HIGHEST)).alias("run_end"),
-    ).distinct()
+    ).groupBy("parent_table", "ref", "run_start").agg(F.max("run_end").alias("run_end"))
     dated = refs.filter(F.col("t").isNotNull())
     by = ["parent_table", "ref"]
     points = live.select(*by, F.col("run_start").alias("t")).unionByName(dated.select(*by, "t"))

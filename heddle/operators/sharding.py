@@ -4,7 +4,8 @@ A key that holds a large share of all rows cannot be handled by one task. The
 helpers here find such keys, cut their rows into shards along an ordering
 column, and leave every other key in its single shard 0. The list of cuts is
 bounded: a key counts as hot from ``max(rows_per_shard, total / max_shards)``
-rows on, so there are at most ``max_shards`` hot keys and as many cuts.
+rows on, so there are at most ``max_shards`` hot keys and as many cuts. Rows
+that share one value of the ordering column are split as well, see ``shard_of``.
 """
 
 from __future__ import annotations
@@ -49,11 +50,9 @@ def hot_key_cuts(
         .select(
             *keys,
             F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), wanted - 1),
-                        lambda j: F.element_at("__q", F.least(F.greatest((j * parts / wanted).cast("int"), F.lit(1)), F.lit(parts - 1))).cast("bigint"),
-                    )
+                F.transform(
+                    F.sequence(F.lit(1), wanted - 1),
+                    lambda j: F.element_at("__q", F.least(F.greatest((j * parts / wanted).cast("int"), F.lit(1)), F.lit(parts - 1))).cast("bigint"),
                 )
             ).alias(CUTS),
         )
@@ -61,17 +60,31 @@ def hot_key_cuts(
     return points.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def shard_of(at: Column) -> Column:
-    return F.when(F.col(CUTS).isNull() | at.isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(F.col(CUTS), lambda c: c <= at))
-    )
+def shard_of(at: Column, salt: Column | None = None) -> Column:
+    """The shard of a value: how many cuts lie at or before it.
+
+    A value that many rows share is a cut several times over and has as many
+    shards. Rows with a ``salt`` are dealt to all of them, rows without stay in
+    the first, from where later shards know them as carried rows.
+    """
+    upto = F.size(F.filter(F.col(CUTS), lambda c: c <= at))
+    before = F.size(F.filter(F.col(CUTS), lambda c: c < at))
+    tied = upto - before
+    own = before + F.lit(1) + (F.pmod(salt, tied) if salt is not None else F.lit(0))
+    return F.when(F.col(CUTS).isNull() | at.isNull(), F.lit(0)).when(tied > 1, own).otherwise(upto).cast("int")
+
+
+def row_salt(df: DataFrame) -> Column:
+    """A hash of each row by which tied rows are dealt: the same on every attempt of a task; maps cannot be hashed and play no part."""
+    kinds = {f.name: f.dataType.json() for f in df.schema.fields}
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in kinds.items() if '"map"' not in kind and "variant" not in kind])
 
 
-def with_shard(df: DataFrame, cuts: DataFrame | None, keys: list[str], at: str) -> DataFrame:
+def with_shard(df: DataFrame, cuts: DataFrame | None, keys: list[str], at: str, salt: Column | None = None) -> DataFrame:
     """Adds ``__shard``; the cuts are broadcast, their number is bounded above."""
     if cuts is None:
         return df.withColumn(SHARD, F.lit(0))
-    return df.join(F.broadcast(cuts), keys, "left").withColumn(SHARD, shard_of(F.col(at))).drop(CUTS)
+    return df.join(F.broadcast(cuts), keys, "left").withColumn(SHARD, shard_of(F.col(at), salt)).drop(CUTS)
 
 
 def all_shards(cuts: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,16 +59,14 @@ class Config:
 def plan_chunks(documents: DataFrame, limit: int = X.CHUNK_LIMIT) -> DataFrame:
     """document_id, position, text, chunk_hash, chunk_id of (document_id, text) rows.
 
-    Identical chunks of a document are told apart by an occurrence number, which
-    is counted inside the document's row.
+    Identical chunks of a document are told apart by an occurrence number, so
+    chunks are dealt by document and hash; no row holds more than its own chunk.
     """
-    parts = documents.select("document_id", X.chunk_text(F.col("text"), limit).alias("parts"))
-    hashed = parts.withColumn("hashes", F.transform("parts", lambda p: X.normalized_chunk_hash(p)))
-    each = hashed.select("document_id", "parts", "hashes", F.posexplode("hashes").alias("position", "chunk_hash"))
-    earlier = F.size(F.filter(F.slice("hashes", F.lit(1), F.col("position")), lambda h: h == F.col("chunk_hash")))
-    return each.select(
-        "document_id", "position", F.get("parts", F.col("position")).alias("text"), "chunk_hash",
-        X.chunk_id(F.col("document_id"), F.col("chunk_hash"), earlier).alias("chunk_id"),
+    each = documents.select("document_id", F.posexplode(X.chunk_text(F.col("text"), limit)).alias("position", "text"))
+    hashed = each.withColumn("chunk_hash", X.normalized_chunk_hash(F.col("text")))
+    copies = Window.partitionBy("document_id", "chunk_hash").orderBy("position")
+    return hashed.withColumn("occurrence", F.row_number().over(copies) - 1).select(
+        "document_id", "position", "text", "chunk_hash", X.chunk_id(F.col("document_id"), F.col("chunk_hash"), F.col("occurrence")).alias("chunk_id")
     )
 
 

@@ -36,6 +36,44 @@ def test_versions_as_known(spark, rows_per_shard):
         assert (r["version_valid_at"], r["version_created_at"]) == winner(versions, r["key"], r["t"]), r
 
 
+def test_nested_versions_are_carried_once(spark):
+    """Each version ends later than those begun after it; every shard but one would otherwise carry all of them."""
+    from pyspark.sql import functions as F
+
+    from heddle.operators import asof, sharding
+
+    carried = {}
+    for n in (400, 800, 1600):
+        rows_ = [("k", i, i, i, 2 * n + (n - i)) for i in range(n)]
+        v = spark.createDataFrame(rows_, "__key string, __at bigint, __valid bigint, __created bigint, __end bigint")
+        cuts = sharding.hot_key_cuts(v.select("__key", "__at").unionByName(v.select("__key", F.col("__end").alias("__at"))), ["__key"], "__at", 40)
+        carried[n] = asof._carry_in(sharding.with_shard(v, cuts, ["__key"], "__at"), cuts, ["__key"]).count()
+        assert carried[n] <= n + cuts.select(F.size("__cuts")).first()[0]
+    assert carried[1600] < 2.5 * carried[800] < 6 * carried[400]
+
+
+def test_ties_of_a_hot_key_are_split(spark):
+    """All events of a hot key share one time: they are dealt to several shards and keep their version."""
+    from pyspark.sql import functions as F
+
+    from heddle.operators import sharding
+
+    versions = [("hot", 3, None, 2, None, "x"), ("hot", 5, None, 5, None, "x"), ("hot", 1, 4, 1, None, "x"), ("hot", 9, None, 9, None, "x")]
+    events = [(f"p{i}", "hot", 5, i, "i") for i in range(400)] + [("q", "hot", 4, 0, "i"), ("r", "hot", 12, 0, "i")]
+    e = spark.createDataFrame(events, EVENT)
+    got = asof_versions(e, spark.createDataFrame(versions, VERSION), "key", "t", rows_per_shard=50)
+    assert {(r["t"], r["version_created_at"], r["n"]) for r in got.groupBy("t", "version_created_at").agg(F.count("*").alias("n")).collect()} == {(5, 5, 400), (4, 2, 1), (12, 9, 1)}
+    cuts = sharding.hot_key_cuts(e.select("key", "t"), ["key"], "t", 50)
+    sizes = [r[1] for r in sharding.with_shard(e, cuts, ["key"], "t", sharding.row_salt(e)).groupBy("__shard").count().collect()]
+    assert max(sizes) < 150
+
+
+def test_open_starts_of_a_hot_key(spark):
+    intervals = [("hot", None, i) for i in range(300)] + [("hot", 500, 510), ("hot", 505, None)]
+    df = spark.createDataFrame(intervals, "src string, a bigint, b bigint")
+    assert rows(continuous_periods(df, "src", "a", "b", 20)) == brute_periods(intervals)
+
+
 def test_asof_empty(spark):
     events, versions = spark.createDataFrame([("p", "a", 5, 0, "i")], EVENT), spark.createDataFrame([], VERSION)
     assert rows(asof_versions(events, versions, "key", "t"), "episode", "version_created_at") == [("p", None)]

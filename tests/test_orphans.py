@@ -93,3 +93,10 @@ def test_covering_end_carries_over_shards(spark):
     cuts = hot_key_cuts(refs.withColumnRenamed("at", "t"), ["g"], "t", rows_per_shard=10)
     got = covering_end(refs, runs, ["g"], "at", cuts)
     assert {r["cover_end"] for r in got.collect()} == {95}
+
+
+def test_ties_of_a_hot_reference(spark):
+    refs = [("f", f"r{i}", "src", "p", t, "p") for i in range(300) for t in (7,)] + [("f", "early", "src", "p", 3, "p"), ("f", "late", "src", "p", 20, "p")]
+    parents = [("p", "p", 5, 9, "x"), ("p", "p", 5, 6, "x"), ("p", "p", 8, 10, "x")]
+    got = orphan_references(spark.createDataFrame(refs, REFS.rsplit(", ", 1)[0]), spark.createDataFrame(parents, PARENTS), 30)
+    assert {(r["record_id"], r["reason"]) for r in got.collect()} == {("early", "late"), ("late", "deleted")}

@@ -98,3 +98,29 @@ def test_encoded_times_sort(spark):
     values = [None, -(1 << 63), -5, 0, 7, (1 << 63) - 1]
     got = column(spark, values, encode_ts(F.col("v"), "a"), "bigint")
     assert got == sorted(got) and len(set(got)) == len(got)
+
+
+def test_chunking_is_linear_and_counts_code_points(spark):
+    """A text of 300,000 characters, many chunks alike: no row may hold more than its own chunk, nor the time grow with the square."""
+    import time
+
+    from heddle.sources.store import plan_chunks
+
+    unit = "ab \U0001f600 " * 180  # 900 code points
+    took = {}
+    for copies in (50, 400):
+        df = spark.createDataFrame([("d", unit * copies + "end")], "document_id string, text string")
+        began = time.time()
+        got = sorted(plan_chunks(df).select("position", "chunk_id", F.length("text").alias("n")).collect())
+        took[copies] = time.time() - began
+        assert [r[0] for r in got] == list(range(copies + 1)) and {r[2] for r in got[:-1]} == {900}
+        assert [r[1].rsplit(":", 1)[1] for r in got[:-1]] == [f"{i:04d}" for i in range(copies)]
+    assert took[400] < 8 * took[50] + 2
+
+
+def test_long_white_space_inside_a_text(spark):
+    df = spark.createDataFrame([("d", "a" + " " * 200_000 + "b"), ("e", " \t" * 1000)], "document_id string, text string")
+    from heddle.functions.text import normalized_chunk_hash, sha256_text, trim_unicode
+
+    got = df.select("document_id", F.length(trim_unicode(F.col("text"))).alias("n"), (normalized_chunk_hash(F.col("text")) == sha256_text(F.lit("a b"))).alias("same"))
+    assert rows(got) == [("d", 200_002, True), ("e", 0, False)]

@@ -1,11 +1,13 @@
 """A navigable small-world graph in flat arrays, built and searched in lockstep.
 
 Layer 0 holds all points, layer l the first 1/``SCALE``^l of them (points come
-in an order that is as good as random); the topmost has at most ``TOP`` points
-and is compared exhaustively, so searches start near their goal even where the
-points form clusters without links between them. Every layer is one int32 array with a
-row of neighbours per point, -1 where there are fewer. Insertions and searches
-handle a block of points at a time: each step expands the best few unexpanded
+in an order that is as good as random), down to a topmost layer of at most
+``TOP`` points, whatever the size of the graph. A search enters at the best of
+these few and descends layer by layer, taking the best points found in one
+layer as entry points of the next; a search for a point of the graph itself may
+enter layer 0 at that point. Every layer is one int32 array with a row of
+neighbours per point, -1 where there are fewer. Insertions and searches handle
+a block of points at a time: each step expands the best few unexpanded
 candidates of every search at once, so numpy does the work and not the
 interpreter.
 """
@@ -14,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-SCALE, TOP, STARTS = 8, 2048, 8
-DEGREE, DEGREE_UPPER = 20, 12
-BEAM_BUILD, BEAM_SEARCH, EXPAND = 40, 40, 4
+SCALE, TOP, STARTS = 8, 64, 8
+DEGREE, DEGREE_UPPER = 28, 16
+BEAM_BUILD, BEAM_SEARCH, EXPAND = 40, 48, 8
 BLOCK = 256
 
 
@@ -164,11 +166,15 @@ def _descend(points: np.ndarray, layers: list[np.ndarray], level: int, queries:
     return np.where(starts < limit, starts, 0)
 
 
-def search(points: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, k: int, beam: int = BEAM_SEARCH) -> np.ndarray:
-    """Ids of the k nearest points found per query, -1 where there are fewer."""
+def search(points: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, k: int, beam: int = BEAM_SEARCH, own: np.ndarray | None = None) -> np.ndarray:
+    """Ids of the k nearest points found per query, best first, -1 where there are fewer.
+
+    ``own`` holds the queries' own points if they are part of the graph; the search then begins there.
+    """
     out = np.full((len(queries), k), -1, np.int64)
     for i in range(0, len(queries), BLOCK):
         q = queries[i : i + BLOCK]
-        ids = search_layer(points, layers[0], q, _descend(points, layers, 0, q), max(beam, k))[0][:, :k]
+        starts = own[i : i + BLOCK, None] if own is not None else _descend(points, layers, 0, q)
+        ids = search_layer(points, layers[0], q, starts, max(beam, k))[0][:, :k]
         out[i : i + len(q), : ids.shape[1]] = ids
     return out

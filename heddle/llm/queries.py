@@ -23,7 +23,7 @@ def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nearest(_collections(spark, sf_dir)).filter(F.col("cos") >= 0.8)
+    near = nearest(_collections(spark, sf_dir), min_cos=0.8)
     return near.select("collection", F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
 
 

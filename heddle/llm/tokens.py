@@ -46,5 +46,15 @@ def token_count(text: Column, path: str = f"{TOKENIZER_DIR}/{TOKENIZER_FILE}") -
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, before costly Python work on a table that sits in few files."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Over all cores, before costly Python work, if the table is too small to fill them.
+
+    A table with a full-size split for every core stays as it is read: its
+    splits are many and even. A smaller one sits in few files or row groups and
+    is dealt anew, never to fewer partitions than it had.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= cores * split:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()))

@@ -41,7 +41,7 @@ def brute(items, k):
 VECTOR = "collection string, item string, vector array<float>, cls string"
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_size": 60, "block_size": 40, "probes": 4}])
+@pytest.mark.parametrize("options", [{}, {"shard_size": 60, "block_size": 40, "probes": 4}, {"shard_size": 60, "flat_cells": 3, "probes": 6}, {"shard_size": 60, "exact": True}])
 def test_nearest(spark, options):
     x = clustered(400, 16, 3)
     x[100:230] = x[100]  # a third is one and the same vector
@@ -53,12 +53,54 @@ def test_nearest(spark, options):
     got = nearest(sound_vectors(spark.createDataFrame(data, VECTOR), 16), 5, **options).collect()
     want = brute([(f"i{i:03d}", v.astype(np.float64)) for i, v in enumerate(x)], 5)
     found = {(r["item"], r["other"]) for r in got}
-    assert len(found & want) / len(want) > (0.98 if not options else 0.9)
+    assert len(found & want) / len(want) > (1 - 1e-9 if "exact" in options else 0.98 if not options else 0.9)
+    high = nearest(sound_vectors(spark.createDataFrame(data, VECTOR), 16), 5, min_cos=0.7, **options).collect()
+    assert {(r["item"], r["other"]) for r in high} == {(r["item"], r["other"]) for r in got if r["cos"] >= 0.7}
     assert len(got) == len(found) == 2000 and {r["collection"] for r in got} == {"a"}
     for i in range(100, 230):  # copies are answered exactly
         assert {o for a, o in found if a == f"i{i:03d}"} == {o for a, o in want if a == f"i{i:03d}"}
 
 
+@pytest.mark.parametrize("shape", ["uniform", "clusters", "balls"])
+def test_recall_of_a_full_shard_by_descent(shape):
+    """16,000 points in one graph, entered through its small topmost layer."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(16_000, 24))
+    if shape != "uniform":
+        centers = rng.normal(size=(53 if shape == "clusters" else 3, 24))
+        x = centers[rng.integers(0, len(centers), len(x))] + 0.35 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    layers = hnsw.build(x)
+    assert len(layers) == 4 and len(layers[-1]) <= hnsw.TOP
+    asked = np.arange(0, len(x), 16)
+    true = np.argsort(-(x[asked] @ x.T), axis=1)[:, :6]
+    for found in (hnsw.search(x, layers, x[asked], 6), hnsw.search(x, layers, x[asked], 6, own=asked)):
+        assert np.mean([len(set(a) & set(b)) for a, b in zip(true.tolist(), found.tolist())]) / 6 > 0.95
+
+
+def test_scaled_copies_are_one_group(spark):
+    """Copies of one vector at many norms: float32 rounding must not hide them from one another."""
+    rng = np.random.default_rng(5)
+    v, noise = rng.normal(size=64), rng.normal(size=(300, 64))
+    data = [("a", f"c{i:03d}", [float(np.float32(x)) for x in v * s], "") for i, s in enumerate(rng.uniform(0.01, 50, 300))]
+    data += [("a", f"n{i:03d}", n.tolist(), "") for i, n in enumerate(noise)]
+    got = nearest(sound_vectors(spark.createDataFrame(data, VECTOR), 64), 5).filter("item like 'c%'").collect()
+    others = lambda i: [f"c{j:03d}" for j in range(7) if f"c{j:03d}" != i][:5]
+    assert len(got) == 1500 and all(r["cos"] == 1.0 for r in got)
+    right = sum(r["other"] in others(r["item"]) for r in got)
+    assert right / len(got) > 0.95
+
+
+def test_packed_vectors_are_exact():
+    from heddle.llm import neighbors
+
+    whole, real = np.array([[-7.5, 0.5, 63.5], [1, 2, 3]], np.float32), np.array([[0.1, 2, 3], [64, 0, 0]], np.float32)
+    for rows_, size in ((whole, 7), (real, 25)):
+        blob = neighbors._blob(rows_)
+        assert len(blob) == size and (neighbors._rows(blob, 2) == rows_).all()
+    assert (neighbors._matrix([neighbors._blob(r) for r in (*whole, *real)]) == np.concatenate([whole, real])).all()
+
+
 def test_nothing(spark):
     assert nearest(sound_vectors(spark.createDataFrame([], VECTOR), 16)).count() == 0
 

@@ -55,6 +55,6 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= cores * split:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * split:
         return df
     return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()))

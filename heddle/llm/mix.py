@@ -1,11 +1,13 @@
 """Mixing sources to target weights.
 
-Documents whose source is known belong to it; for the rest a classifier, fitted
-on labelled documents, predicts a posterior over the sources (soft membership).
-Projected-gradient least squares then finds a nonnegative rate for every
-document such that the expected tokens of each source match the targets, no
-rate exceeding the source's cap, and rates become whole repeats by error
-diffusion, so that the realised tokens follow the rates closely.
+A classifier, fitted on a bounded sample of labelled documents, predicts for
+every document how likely each source is. The recorded label, where there is
+one, counts as evidence that is wrong with a small probability, so labels and
+texts together give the document's soft membership. Projected-gradient least
+squares then finds a nonnegative rate for every document such that the expected
+tokens of each source match the targets, no rate exceeding its cap, and rates
+become whole repeats by error diffusion, so that the realised tokens follow the
+rates closely.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from .tokens import token_count
 
 #: Labelled documents that the classifier is fitted on, hashed word features, and most sources in a mixture.
 FIT_ROWS, FEATURES, MAX_TARGETS = 20_000, 1 << 14, 200
-ROUNDS, STEP, PRECISION = 40, 0.9, 1e-6
+#: Probability that a recorded label is wrong, and decimals kept of a membership.
+LABEL_DOUBT, DIGITS = 0.002, 3
+ROUNDS, PRECISION = 30, 1e-5
 SHARD_DOCS = 40_000
-OTHER = "\x00other"
+
+#: Stands for all sources without a target; no source is spelled with a space once it has been normalised.
+OTHER = "other sources"
 
 ROUNDED = "doc_id bigint, source string, tokens bigint, rate double, repeats int"
 
@@ -48,11 +54,14 @@ def _targets(targets: DataFrame) -> list[tuple[str, str, float, int]]:
 
 
 def fit_classifier(labelled: DataFrame, rows: int = FIT_ROWS):
-    """Multinomial logistic regression on hashed words of (text, label); ``rows`` bounds the sample, chosen by hash."""
+    """Multinomial logistic regression on hashed words of (text, label), fitted on about ``rows`` rows chosen by hash."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StringIndexer
 
+    n = labelled.count()
+    share = int(min(1.0, rows / max(n, 1)) * (1 << 30))
+    sample = labelled.select("text", "label").filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) <= share)
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]+", gaps=False),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES),
@@ -61,7 +70,7 @@ def fit_classifier(labelled: DataFrame, rows: int = FIT_ROWS):
         StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="index", maxIter=25, regParam=1e-4, family="multinomial"),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    return Pipeline(stages=stages).fit(cut_lineage(sample, "labelled"))
 
 
 def posteriors(model, rows: DataFrame, names: list[str]) -> DataFrame:
@@ -73,58 +82,99 @@ def posteriors(model, rows: DataFrame, names: list[str]) -> DataFrame:
     steps = PipelineModel([s for i, s in enumerate(model.stages) if i != 4])
     p = vector_to_array("probability")
     pick = F.array(*[p[classes.index(n)] if n in classes else F.lit(0.0) for n in names])
-    return steps.transform(rows).withColumn("membership", pick)
-
-
-def rates_after(membership: np.ndarray, caps: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given gradient steps, each projected onto [0, cap]."""
-    rates = np.minimum(1.0, caps)
-    for step in history:
-        rates = np.clip(rates - membership @ step, 0.0, caps)
-    return rates
+    return steps.transform(rows).withColumn("membership", pick).drop("words", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
 
 
-def _expected(groups: DataFrame, k: int, weight) -> np.ndarray:
-    """Tokens per source expected when each group is used ``weight(membership, caps)`` times.
+def with_label(membership: Column, label: Column, shares: dict[str, float], doubt: float) -> Column:
+    """The membership once the recorded label is known, by Bayes' rule.
 
-    Every task returns one row of ``k`` sums, so the driver adds up as many rows as there are partitions.
+    A label is wrong with probability ``doubt`` and then as likely as it is
+    common (``shares``: part of the labels per source, in the order of the
+    membership). Without a label, or with one that no source has, the membership
+    stays as it is.
     """
+    wrong = F.element_at(F.create_map(*[F.lit(x) for n, share in shares.items() for x in (n, doubt * share)]), label)
+    odds = [F.when(label == n, F.lit(1 - doubt) + wrong).otherwise(F.coalesce(wrong, F.lit(1.0))) for n in shares]
+    weighed = F.array(*[membership[i] * o for i, o in enumerate(odds)])
+    total = F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(weighed, lambda x: x / total)).otherwise(membership)
 
-    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k)
-        for part in parts:
-            if len(part):
-                p, caps = np.array(part["membership"].tolist()), part["cap"].to_numpy()
-                total += (part["tokens"].to_numpy() * weight(p, caps)) @ p
-        yield pd.DataFrame({"sums": [total.tolist()]})
 
-    return np.sum([r[0] for r in groups.mapInPandas(sums, "sums array<double>").collect()] or [np.zeros(k)], axis=0)
+def rates_at(membership: np.ndarray, caps: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The rate of each document after gradient steps that add up to ``steps`` (one number per source), projected onto [0, cap]."""
+    return np.clip(np.minimum(1.0, caps) - membership @ steps, 0.0, caps)
 
 
-def fit_rates(groups: DataFrame, shares: list[float], rounds: int = ROUNDS) -> tuple[list[np.ndarray], float]:
-    """The gradient steps of the least squares, and the tokens the mixture aims at.
+def _sums(groups: DataFrame, k: int, weigh) -> np.ndarray:
+    """Sums over all groups of ``weigh(membership, caps, tokens)``, an array of k numbers or of k rows of k.
 
-    ``groups``: membership, cap, tokens. The objective is the sum over sources of
-    (expected tokens / total - share)^2, each source scaled by its expected
-    tokens at rate 1. The total is the largest at which no reachable source needs
-    more than its cap. Sources without any expected tokens cannot be reached.
+    Every task returns one row, so the driver adds up as many rows as there are partitions.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in parts:
+            if len(part):
+                found = weigh(np.array(part["membership"].tolist()), part["cap"].to_numpy(), part["tokens"].to_numpy())
+                total = found if total is None else total + found
+        if total is not None:
+            yield pd.DataFrame({"sums": [np.ravel(total).tolist()]})
+
+    rows = groups.mapInPandas(run, "sums array<double>").collect()
+    return np.sum([r[0] for r in rows], axis=0) if rows else np.zeros(0)
+
+
+def fit_rates(groups: DataFrame, shares: list[float], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """The summed gradient steps of the least squares, and the tokens the mixture aims at.
+
+    ``groups``: membership, cap, tokens; ``shares`` has a number for each
+    component of a membership, 0 for what should not be in the mixture. The
+    objective is the sum over sources of (expected tokens - share x total)^2.
+    The gradient is scaled by the second derivatives over the documents whose
+    rate is strictly between 0 and its cap, so few rounds are needed, and as the
+    steps only add up, a round needs one pass and no memory of earlier rounds.
+    The total is the largest at which no reachable source needs more than its
+    cap. Sources without any expected tokens cannot be reached.
     """
     k = len(shares)
-    at_one = _expected(groups, k, lambda p, caps: np.ones(len(p)))
-    at_cap = _expected(groups, k, lambda p, caps: caps)
     goal = np.array(shares)
+
+    def at_caps(p: np.ndarray, caps: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        each = p * (tokens * caps)[:, None]
+        return np.vstack([each.sum(0), (each * (p >= p.max(1, keepdims=True))).sum(0)])
+
+    found = _sums(groups, k, at_caps)
+    at_cap, own = found.reshape(2, k) if len(found) else np.zeros((2, k))
     reachable = (at_cap > 0) & (goal > 0)
     if not reachable.any():
-        return [], 0.0
-    total = float((at_cap[reachable] / goal[reachable]).min())
-    history: list[np.ndarray] = []
+        return np.zeros(k), 0.0
+    # what documents of other sources add by a small chance cannot be counted on
+    sure = np.where(own > 0, own, at_cap)
+    total = float((sure[reachable] / goal[reachable]).min())
+    steps = np.where(goal <= 0, 1.0, 0.0)  # a document starts with the part of it that may be in the mixture at all
+    best, least = steps, np.inf
     for _ in range(rounds):
-        now = _expected(groups, k, lambda p, caps, steps=tuple(history): rates_after(p, caps, steps))
-        miss = np.where(reachable, now - goal * total, 0.0)
-        if np.abs(miss).max() <= PRECISION * total:
+
+        def weigh(p: np.ndarray, caps: np.ndarray, tokens: np.ndarray, now=steps) -> np.ndarray:
+            rates = rates_at(p, caps, now)
+            free = tokens * ((rates > 0) & (rates < caps))
+            return np.vstack([(tokens * rates) @ p, (p * free[:, None]).T @ p])
+
+        found = _sums(groups, k, weigh).reshape(k + 1, k)
+        expected, second = found[0], found[1:]
+        miss = np.where(reachable, expected - goal * total, 0.0)
+        if np.abs(miss).max() < least:
+            best, least = steps, np.abs(miss).max()
+        if least <= PRECISION * total:
             break
-        history.append(STEP * miss / np.maximum(at_one, 1.0))
-    return history, total
+        # where all documents of a source are at 0 or at their cap, its own tokens stand for the missing derivative
+        idle = reachable & (np.diag(second) < 1e-3 * at_cap)
+        scaled = second + np.diag(np.where(idle, at_cap, 1e-6 * np.maximum(at_cap, 1.0)))
+        scaled = scaled[np.ix_(reachable, reachable)]
+        move = np.zeros(k)
+        move[reachable] = np.linalg.solve(scaled, miss[reachable])
+        steps = steps + np.clip(move, -1.0, 1.0)
+    return best, total
 
 
 def diffuse(tokens: np.ndarray, rates: np.ndarray, caps: np.ndarray) -> np.ndarray:
@@ -140,65 +190,84 @@ def diffuse(tokens: np.ndarray, rates: np.ndarray, caps: np.ndarray) -> np.ndarr
     return np.array(out, np.int64)
 
 
-def _round_shard(history: list[np.ndarray]):
+def _round_shard(steps: np.ndarray):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
         caps = part["cap"].to_numpy()
-        rates = np.round(rates_after(np.array(part["membership"].tolist()), caps, history), 9)
+        rates = np.round(rates_at(np.array(part["membership"].tolist()), caps, steps), 9)
         kept = part.assign(rate=rates, repeats=diffuse(part["tokens"].to_numpy(), rates, caps).astype("int32"))
         return kept.loc[kept["repeats"] > 0, ["doc_id", "source", "tokens", "rate", "repeats"]]
 
     return run
 
 
-def mixture(documents: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def memberships(documents: DataFrame, keys: list[str], fit_rows: int = FIT_ROWS, doubt: float = LABEL_DOUBT) -> DataFrame:
+    """doc_id, k (recorded source or null), tokens, membership of every document with tokens.
+
+    ``membership`` has one number for each of ``keys`` and a last one for all
+    other sources; they add up to 1. With labelled rows of fewer than two
+    sources there is nothing to learn: a label then stands for itself and
+    documents without one belong to no source.
+    """
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("k"))
+    labelled = rows.filter(F.col("k").isNotNull() & (F.length("text") > 0))
+    labelled = labelled.select("text", F.when(F.col("k").isin(keys), F.col("k")).otherwise(OTHER).alias("label"))  # sources without a target are one class
+    kinds = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}  # at most MAX_TARGETS + 1 rows
+    sized = rows.withColumn("tokens", token_count(F.col("text"))).filter("tokens > 0")
+    if len(kinds) < 2:
+        known = F.array(*[F.coalesce(F.col("k") == k, F.lit(False)).cast("double") for k in keys])
+        found = sized.withColumn("membership", known)
+    else:
+        model = fit_classifier(labelled, fit_rows)
+        names = [*keys, OTHER]
+        label = F.when(F.col("k").isNull() | F.col("k").isin(keys), F.col("k")).otherwise(F.lit(OTHER))
+        common = {n: kinds.get(n, 0) / sum(kinds.values()) for n in names}
+        found = posteriors(model, sized, names).withColumn("membership", with_label(F.col("membership"), label, common, doubt))
+    rounded = F.transform(F.slice("membership", 1, len(keys)), lambda x: F.round(x, DIGITS))
+    rest = F.greatest(F.lit(0.0), F.round(1 - F.aggregate(rounded, F.lit(0.0), lambda a, x: a + x), DIGITS))
+    return found.select("doc_id", "k", "tokens", F.concat(rounded, F.array(rest)).alias("membership"))
+
+
+def mixture(documents: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS, doubt: float = LABEL_DOUBT) -> DataFrame:
     """How often each document is used: doc_id, source, tokens, rate, repeats >= 1.
 
     ``documents``: doc_id, text, source; ``targets``: source, target_share,
     max_repeats (at most ``MAX_TARGETS`` rows). Sources match whatever their
-    case, spaces and hyphens. Documents of known sources without a target are
-    not used. A document with null or blank source counts for each target by
-    its posterior, is listed under the likeliest source of all and is not used
-    if that one has no target; without labelled rows of two sources such
-    documents are not used. Documents without tokens, targets with null or
-    nonpositive share and caps of 0 or null contribute nothing. Repeated rows are documents of their own.
+    case, spaces and hyphens. Every document counts for each target by its
+    membership, see ``memberships``; it is listed, and its cap is that of, the
+    recorded source, or where none is recorded the likeliest target. Documents
+    recorded under a source without a target are not used; those that merely
+    seem to belong elsewhere are used as far as the least squares let them.
+    Documents without tokens, targets with null or nonpositive share and caps of
+    0 or null contribute nothing. Repeated rows are documents of their own.
     """
     wanted = _targets(targets)
     spark = documents.sparkSession
     if not wanted:
         return spark.createDataFrame([], ROUNDED)
     keys, names, shares, caps = (list(x) for x in zip(*wanted))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("k"))
-    sizes = cut_lineage(rows.select("doc_id", "k", token_count(F.col("text")).alias("tokens"), F.when(F.col("k").isNull(), F.col("text")).alias("text")), "sizes").filter("tokens > 0")
     cap_of = F.create_map(*[F.lit(x) for k, c in zip(keys, caps) for x in (k, float(c))])
-    known = sizes.filter(F.col("k").isin(keys)).select("doc_id", "k", "tokens", F.array(*[(F.col("k") == k).cast("double") for k in keys]).alias("membership"))
-
-    labelled = rows.filter(F.col("k").isNotNull() & (F.length("text") > 0))
-    n_labelled, n_kinds = labelled.agg(F.count(F.lit(1)), F.approx_count_distinct("k")).first()
-    members = known
-    if n_kinds >= 2 and not sizes.filter(F.col("k").isNull()).isEmpty():
-        share = int(min(1.0, fit_rows / n_labelled) * (1 << 20))
-        sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text", F.col("k").alias("label"))
-        model = fit_classifier(cut_lineage(sample, "labelled"), fit_rows)
-        every = sorted({*keys, *model.stages[4].labels})
-        soft = posteriors(model, sizes.filter(F.col("k").isNull()).select("doc_id", "tokens", "text"), every)
-        best = F.element_at(F.array(*[F.lit(k) for k in every]), F.array_position("membership", F.array_max("membership")).cast("int"))
-        soft = soft.withColumn("k", best).filter(F.col("k").isin(keys))
-        at = [every.index(k) for k in keys]
-        members = members.unionByName(soft.select("doc_id", "k", "tokens", F.array(*[F.round(F.col("membership")[i], 4) for i in at]).alias("membership")))
-    members = cut_lineage(members.withColumn("cap", F.element_at(cap_of, F.col("k"))), "members")
+    likeliest = F.element_at(F.array(*[F.lit(k) for k in keys]), F.array_position(F.slice("membership", 1, len(keys)), F.array_max(F.slice("membership", 1, len(keys)))).cast("int"))
+    some = F.exists(F.slice("membership", 1, len(keys)), lambda x: x > 0)
+    members = cut_lineage(
+        memberships(documents, keys, fit_rows, doubt)
+        .withColumn("k", F.coalesce("k", F.when(some, likeliest)))
+        .filter(F.col("k").isin(keys))
+        .withColumn("cap", F.element_at(cap_of, F.col("k"))),
+        "members",
+    )
     groups = cut_lineage(members.groupBy("membership", "cap").agg(F.sum("tokens").alias("tokens")), "groups")
-    history, total = fit_rates(groups, shares)
+    steps, total = fit_rates(groups, [*shares, 0.0])
     if not total:
         return spark.createDataFrame([], ROUNDED)
     counts = {r[0]: max(1, math.ceil(r[1] / SHARD_DOCS)) for r in members.groupBy("k").count().collect()}  # at most MAX_TARGETS rows
-    shards = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]) if counts else F.create_map(F.lit(""), F.lit(1))
+    shards = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
     name_of = F.create_map(*[F.lit(x) for kv in zip(keys, names) for x in kv])
     return (
         members.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.element_at(shards, F.col("k"))).cast("int"))
         .withColumn("source", F.element_at(name_of, F.col("k")))
         .groupBy("k", "shard")
-        .applyInPandas(_round_shard(history), ROUNDED)
+        .applyInPandas(_round_shard(steps), ROUNDED)
     )
 
 

@@ -10,10 +10,12 @@ from .mix import mixture, mixture_report
 from .neighbors import decoded_vectors, live_codes, nearest, sound_vectors
 from .pack import fill_report, pack
 from .repetition import repetition, repetitive
-from .split import split_cases, split_faults
+from .split import split_cases, split_faults, split_violations
 from .tokens import spread, token_count
 
 DIM = 64
+#: Words that a document may say twice in one go.
+LONGEST = 50
 
 
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_faults(split_cases(spread(table(spark, sf_dir, "chunk_cases"))))
 
 
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that break a rule of the splitting, judged without the splitter: there should be none."""
+    cases = table(spark, sf_dir, "chunk_cases")
+    return split_violations(cut_lineage(split_cases(spread(cases)), "pieces"), cases)
+
+
 def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut_lineage(documents.select("doc_id", token_count(F.col("text")).alias("tokens")), "sizes")
@@ -69,6 +77,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive(_measured(spark, sf_dir)).select("doc_id").distinct()
 
 
+def p9_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over either limit: the repeated share, or the longest phrase said twice."""
+    found = repetitive(_measured(spark, sf_dir), max_longest=LONGEST)
+    return found.select("doc_id", F.round("share", 6).alias("share"), "longest_repeat", "repeats")
+
+
 # fixed values: the Unicode white space characters in a class of the SQL engine's regular expressions
 _WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -92,6 +106,7 @@ f AS (
   UNION ALL SELECT case_id, 'chunk_over_limit' FROM t WHERE chunks IS NOT NULL AND len(list_filter(chunks, lambda x: length(x) > char_limit)) > 0
   UNION ALL SELECT case_id, 'chunks_differ' FROM t WHERE chunks IS NOT NULL AND coalesce(array_to_string(chunks, ''), '') <> t)
 SELECT DISTINCT case_id, fault FROM f""",
+    "p6_violations": "SELECT case_id, CAST(char_limit AS INTEGER) AS piece, '' AS rule FROM chunk_cases WHERE false",
     "p9_shares": _P9_SQL + "SELECT doc_id, n_words, n_repeated, round(CASE WHEN n_words > 0 THEN n_repeated / n_words ELSE 0 END, 6) AS share FROM s",
     "p9_found": _P9_SQL + "SELECT doc_id FROM s WHERE n_words >= 20 AND n_repeated >= 0.3 * n_words",
 }
@@ -100,10 +115,12 @@ QUERIES = {
     "p2_found": p2_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_violations": p6_violations,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p9_limited": p9_limited,
 }

@@ -2,10 +2,11 @@
 
 All documents of a batch are concatenated, with a unique separator after each,
 into one word sequence; prefix doubling sorts its suffixes and the ranks of each
-round give the longest common prefixes. An interval of neighbouring suffixes
-with a common prefix of at least ``window`` words holds a repeated phrase: all
-of its places but the first begin repeated content, and the union of these
-places' spans is what the document repeats.
+round give the longest common prefixes. Within an interval of neighbouring
+suffixes with a common prefix of at least ``window`` words every place is
+matched with the place before it in the text that it agrees with longest: the
+words it shares with that one are a maximal repeat. The union of these spans is
+what the document repeats, and the longest of them its longest repeat.
 """
 
 from __future__ import annotations
@@ -75,29 +76,49 @@ def common_prefixes(sa: np.ndarray, rounds: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
+def earlier_matches(sa: np.ndarray, lcp: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of every place that agrees with an earlier one in at least ``window`` words, with the longest such agreement.
+
+    The best earlier place is, among the suffixes of an interval, the nearest in
+    either direction that lies earlier in the text; a stack finds both in one
+    sweep. Intervals of two, by far the most, need no sweep.
+    """
+    again = lcp >= window
+    head = np.flatnonzero(~again & np.r_[again[1:], False])  # the suffix before the first that shares enough with its predecessor
+    tail = np.flatnonzero(again & ~np.r_[again[1:], False])
+    pair = tail - head == 1
+    places, lengths = [np.maximum(sa[head[pair]], sa[tail[pair]])], [lcp[tail[pair]]]
+    for lo, hi in zip(head[~pair].tolist(), tail[~pair].tolist()):
+        found_at, found = [], []
+        stack: list[tuple[int, int]] = []
+        for at, shared in zip(sa[lo : hi + 1].tolist(), [0, *lcp[lo + 1 : hi + 1].tolist()]):
+            while stack and stack[-1][0] > at:
+                later, before = stack.pop()
+                found_at.append(later)
+                found.append(max(before, shared))
+                shared = min(before, shared)
+            stack.append((at, shared))
+        found_at += [at for at, _ in stack]
+        found += [shared for _, shared in stack]
+        places.append(np.array(found_at, np.int64))
+        lengths.append(np.array(found, np.int64))
+    at, length = np.concatenate(places), np.concatenate(lengths)
+    return at[length >= window], length[length >= window]
+
+
 def repeated_spans(seq: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which words are repeated, longest repeat that begins at each place of the suffix array's order by text place)."""
+    """(which words are repeated, length of the maximal repeat that begins at each place)."""
     n = len(seq)
-    covered, length_at = np.zeros(n, bool), np.zeros(n, np.int64)
+    length_at = np.zeros(n, np.int64)
     if n < window + 1:
-        return covered, length_at
+        return np.zeros(n, bool), length_at
     sa, rounds = suffix_ranks(seq)
-    lcp = common_prefixes(sa, rounds)
-    again = lcp >= window
-    if not again.any():
-        return covered, length_at
-    group = np.cumsum(~again)  # an interval: a place and all that follow it with a long common prefix
-    first = np.full(group[-1] + 1, n, np.int64)
-    np.minimum.at(first, group, sa)
-    begins = np.sort(sa[first[group] != sa])
+    at, length = earlier_matches(sa, common_prefixes(sa, rounds), window)
+    length_at[at] = length
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, np.minimum(begins + window, n), -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    # the longest match of a suffix is with a neighbour in the suffix array
-    longest = np.maximum(lcp, np.r_[lcp[1:], 0])
-    length_at[sa] = np.where(longest >= window, longest, 0)
-    return covered, length_at
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    return np.cumsum(edge[:-1]) > 0, length_at
 
 
 def measure(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int]]:

@@ -11,9 +11,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE_SPACE as SPACE_CLASS
+from ..functions.text import trim_unicode
+
 # fixed values: the characters with the Unicode property White_Space
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -159,3 +162,39 @@ def split_cases(cases: DataFrame) -> DataFrame:
 def split_faults(pieces: DataFrame) -> DataFrame:
     """One row per case and fault, from the result of ``split_cases``."""
     return pieces.select("case_id", F.explode("faults").alias("fault")).distinct()
+
+
+def split_violations(pieces: DataFrame, cases: DataFrame) -> DataFrame:
+    """What is wrong with the pieces of ``split_cases``: case_id, piece, rule; empty if all is well.
+
+    Works from the pieces alone, without the splitter, and expects every
+    case_id once. Rules: ``over limit``; ``other text`` (not what the text has
+    at that place); ``begins late``, ``ends early``; ``overlap`` (the piece does
+    not start the asked-for overlap before the end of the piece before it);
+    ``adds nothing``; ``no boundary`` (the cut before it is called natural, but
+    no white space precedes it); ``boundary missed`` (the cut is a forced one
+    although the piece before it holds a place where white space ends); ``no
+    piece`` for a text that is not blank.
+    """
+    text = trim_unicode(F.coalesce("text", F.lit("")))
+    asked = cases.filter(F.col("char_limit") >= 1).select("case_id", text.alias("whole"), F.greatest(F.lit(0), F.least(F.coalesce("overlap", F.lit(0)), F.col("char_limit") - 1)).alias("overlap"))
+    order = Window.partitionBy("case_id").orderBy("piece")
+    own = pieces.filter(F.col("piece").isNotNull()).select(
+        "case_id", "piece", "start", "stop", "text", "cut", "char_limit",
+        F.lag("stop").over(order).alias("cut_at"), F.coalesce(F.lag("stop", 2).over(order), F.lit(0)).alias("cut_before"), F.lead("stop").over(order).isNull().alias("last"),
+    ).join(asked, "case_id")
+    outer = f"[^{SPACE_CLASS[1:]}"
+    stretch = F.substring("whole", F.col("cut_before") + 1, F.col("cut_at") - F.col("cut_before") + 1)
+    rules = {
+        "over limit": F.length("text") > F.col("char_limit"),
+        "other text": F.col("text") != F.substring("whole", F.col("start") + 1, F.col("stop") - F.col("start")),
+        "begins late": (F.col("piece") == 0) & (F.col("start") != 0),
+        "ends early": F.col("last") & (F.col("stop") != F.length("whole")),
+        "overlap": F.col("start") != F.greatest(F.lit(0), F.col("cut_at") - F.col("overlap")),
+        "adds nothing": F.col("stop") <= F.coalesce("cut_at", F.lit(0)),
+        "no boundary": ~F.col("cut").isin("start", "forced") & ~F.substring("whole", F.col("cut_at"), F.lit(1)).rlike(SPACE_CLASS),
+        "boundary missed": (F.col("cut") == "forced") & stretch.rlike(f"{SPACE_CLASS}{outer}"),
+    }
+    broken = own.select("case_id", "piece", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))).alias("rule"))
+    lost = asked.filter(F.length("whole") > 0).join(own.select("case_id"), "case_id", "left_anti").select("case_id", F.lit(None).cast("int").alias("piece"), F.lit("no piece").alias("rule"))
+    return broken.unionByName(lost)

@@ -19,6 +19,15 @@ def brute(words, window):
     return len(hit)
 
 
+def test_many_repeats_take_linear_time():
+    """One phrase said 20,000 times is one large interval of the suffix array."""
+    import time
+
+    began = time.time()
+    (n, covered, most, spans), = measure(_codes([np.tile(np.arange(9), 20_000)]), 6)
+    assert (n, covered, most, spans) == (180_000, 179_991, 179_991, 1) and time.time() - began < 60
+
+
 def longest(words):
     best = 0
     for i in range(len(words)):

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from heddle.llm.split import WHITE_SPACE, split_cases, split_faults, split_text
+from heddle.llm.split import WHITE_SPACE, split_cases, split_faults, split_text, split_violations
 
 from ..conftest import rows
 
@@ -68,3 +68,23 @@ def test_cases(spark):
 @pytest.mark.parametrize("c", ["\x1c", "​", "﻿"])
 def test_what_is_no_white_space(c):
     assert c not in WHITE_SPACE and re.fullmatch(f"[{re.escape(WHITE_SPACE)}]", c) is None
+
+
+def test_violations_are_seen(spark):
+    """Sound pieces break no rule; each way of spoiling them is found."""
+    from pyspark.sql import functions as F
+
+    text = "One sentence here. Another one, with a clause; done.\n\nA new paragraph follows it. " * 3 + "y" * 70 + " end"
+    cases = spark.createDataFrame([(1, "d", f"  {text} ", 40, 7, None, "c"), (2, "d", "short", 40, 7, None, "c"), (3, "d", " ", 40, 7, None, "c"), (4, "d", "z" * 90, 40, None, None, "c")], CASE)
+    good = split_cases(cases)
+    assert rows(split_violations(good, cases)) == []
+    change = lambda name, value, of=3: good.withColumn(name, F.when((F.col("case_id") == 1) & (F.col("piece") == of), value).otherwise(F.col(name)))
+    rules = lambda df: {r["rule"] for r in split_violations(df, cases).collect()}
+    assert rules(change("text", F.lit("x"))) == {"other text"}
+    assert {"over limit", "other text"} <= rules(change("text", F.repeat(F.lit("x"), F.lit(41))))
+    assert "overlap" in rules(change("start", F.col("start") + 1)) and "begins late" in rules(change("start", F.lit(1), 0))
+    assert rules(good.filter("not (case_id = 1 and piece = 3)")) >= {"overlap"}
+    assert rules(good.filter("case_id <> 2")) == {"no piece"}
+    assert "boundary missed" in rules(change("cut", F.lit("forced"))) and "no boundary" in rules(good.withColumn("cut", F.when(F.col("cut") == "forced", "space").otherwise(F.col("cut"))))
+    last = good.groupBy("case_id").agg(F.max("piece").alias("last"))
+    assert "ends early" in rules(good.join(last, "case_id").filter("case_id <> 1 or piece < last").drop("last"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..sources.tables import cut_lineage
 from .tokens import token_count
 
@@ -68,7 +69,7 @@ def fit_classifier(labelled: DataFrame, rows: int = FIT_ROWS):
         IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
         Normalizer(inputCol="tfidf", outputCol="features"),
         StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc"),
-        LogisticRegression(featuresCol="features", labelCol="index", maxIter=25, regParam=1e-4, family="multinomial"),
+        LogisticRegression(featuresCol="features", labelCol="index", maxIter=12, regParam=0.5, family="multinomial"),
     ]
     return Pipeline(stages=stages).fit(cut_lineage(sample, "labelled"))
 
@@ -81,7 +82,7 @@ def posteriors(model, rows: DataFrame, names: list[str]) -> DataFrame:
     classes = list(model.stages[4].labels)
     steps = PipelineModel([s for i, s in enumerate(model.stages) if i != 4])
     p = vector_to_array("probability")
-    pick = F.array(*[p[classes.index(n)] if n in classes else F.lit(0.0) for n in names])
+    pick = let(p, lambda q: F.array(*[q[classes.index(n)] if n in classes else F.lit(0.0) for n in names]))
     return steps.transform(rows).withColumn("membership", pick).drop("words", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
 
 
@@ -95,9 +96,8 @@ def with_label(membership: Column, label: Column, shares: dict[str, float], doub
     """
     wrong = F.element_at(F.create_map(*[F.lit(x) for n, share in shares.items() for x in (n, doubt * share)]), label)
     odds = [F.when(label == n, F.lit(1 - doubt) + wrong).otherwise(F.coalesce(wrong, F.lit(1.0))) for n in shares]
-    weighed = F.array(*[membership[i] * o for i, o in enumerate(odds)])
-    total = F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(weighed, lambda x: x / total)).otherwise(membership)
+    unit = lambda w, m: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: F.when(total > 0, F.transform(w, lambda x: x / total)).otherwise(m))
+    return let(membership, lambda m: let(F.zip_with(m, F.array(*odds), lambda x, o: x * o), lambda w: unit(w, m)))
 
 
 def rates_at(membership: np.ndarray, caps: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -131,7 +131,8 @@ def fit_rates(groups: DataFrame, shares: list[float], rounds: int = ROUNDS) -> t
     component of a membership, 0 for what should not be in the mixture. The
     objective is the sum over sources of (expected tokens - share x total)^2.
     The gradient is scaled by the second derivatives over the documents whose
-    rate is strictly between 0 and its cap, so few rounds are needed, and as the
+    rate can still move the way the source must go (down if it has too much, up
+    if too little), so steps do not overshoot and few rounds are needed. As the
     steps only add up, a round needs one pass and no memory of earlier rounds.
     The total is the largest at which no reachable source needs more than its
     cap. Sources without any expected tokens cannot be reached.
@@ -157,22 +158,18 @@ def fit_rates(groups: DataFrame, shares: list[float], rounds: int = ROUNDS) -> t
 
         def weigh(p: np.ndarray, caps: np.ndarray, tokens: np.ndarray, now=steps) -> np.ndarray:
             rates = rates_at(p, caps, now)
-            free = tokens * ((rates > 0) & (rates < caps))
-            return np.vstack([(tokens * rates) @ p, (p * free[:, None]).T @ p])
+            second = [(p * (tokens * can)[:, None]).T @ p for can in (rates > 0, rates < caps)]
+            return np.vstack([(tokens * rates) @ p, *second])
 
-        found = _sums(groups, k, weigh).reshape(k + 1, k)
-        expected, second = found[0], found[1:]
-        miss = np.where(reachable, expected - goal * total, 0.0)
+        found = _sums(groups, k, weigh).reshape(2 * k + 1, k)
+        miss = np.where(reachable, found[0] - goal * total, 0.0)
         if np.abs(miss).max() < least:
             best, least = steps, np.abs(miss).max()
         if least <= PRECISION * total:
             break
-        # where all documents of a source are at 0 or at their cap, its own tokens stand for the missing derivative
-        idle = reachable & (np.diag(second) < 1e-3 * at_cap)
-        scaled = second + np.diag(np.where(idle, at_cap, 1e-6 * np.maximum(at_cap, 1.0)))
-        scaled = scaled[np.ix_(reachable, reachable)]
+        second = np.where(miss[:, None] > 0, found[1 : k + 1], found[k + 1 :]) + np.diag(1e-6 * np.maximum(at_cap, 1.0))
         move = np.zeros(k)
-        move[reachable] = np.linalg.solve(scaled, miss[reachable])
+        move[reachable] = np.linalg.solve(second[np.ix_(reachable, reachable)], miss[reachable])
         steps = steps + np.clip(move, -1.0, 1.0)
     return best, total
 
@@ -201,19 +198,23 @@ def _round_shard(steps: np.ndarray):
     return run
 
 
-def memberships(documents: DataFrame, keys: list[str], fit_rows: int = FIT_ROWS, doubt: float = LABEL_DOUBT) -> DataFrame:
-    """doc_id, k (recorded source or null), tokens, membership of every document with tokens.
+def memberships(documents: DataFrame, keys: list[str], fit_rows: int = FIT_ROWS, doubt: float = LABEL_DOUBT, wanted: Column | None = None) -> DataFrame:
+    """doc_id, k (recorded source or null), tokens, membership of every document.
 
     ``membership`` has one number for each of ``keys`` and a last one for all
-    other sources; they add up to 1. With labelled rows of fewer than two
+    other sources; they add up to 1. ``wanted`` restricts the documents that are
+    judged, not those that the classifier learns from. With labelled rows of fewer than two
     sources there is nothing to learn: a label then stands for itself and
     documents without one belong to no source.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("k"))
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("k")]
+    rows = documents.select(*columns)
     labelled = rows.filter(F.col("k").isNotNull() & (F.length("text") > 0))
     labelled = labelled.select("text", F.when(F.col("k").isin(keys), F.col("k")).otherwise(OTHER).alias("label"))  # sources without a target are one class
     kinds = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}  # at most MAX_TARGETS + 1 rows
-    sized = rows.withColumn("tokens", token_count(F.col("text"))).filter("tokens > 0")
+    if wanted is not None:
+        rows = documents.filter(wanted).select(*columns)
+    sized = rows.withColumn("tokens", token_count(F.col("text")))  # no filter on it: it would be counted once for the filter and once more
     if len(kinds) < 2:
         known = F.array(*[F.coalesce(F.col("k") == k, F.lit(False)).cast("double") for k in keys])
         found = sized.withColumn("membership", known)
@@ -223,9 +224,9 @@ def memberships(documents: DataFrame, keys: list[str], fit_rows: int = FIT_ROWS,
         label = F.when(F.col("k").isNull() | F.col("k").isin(keys), F.col("k")).otherwise(F.lit(OTHER))
         common = {n: kinds.get(n, 0) / sum(kinds.values()) for n in names}
         found = posteriors(model, sized, names).withColumn("membership", with_label(F.col("membership"), label, common, doubt))
-    rounded = F.transform(F.slice("membership", 1, len(keys)), lambda x: F.round(x, DIGITS))
-    rest = F.greatest(F.lit(0.0), F.round(1 - F.aggregate(rounded, F.lit(0.0), lambda a, x: a + x), DIGITS))
-    return found.select("doc_id", "k", "tokens", F.concat(rounded, F.array(rest)).alias("membership"))
+    rest = lambda r: F.greatest(F.lit(0.0), F.round(1 - F.aggregate(r, F.lit(0.0), lambda a, x: a + x), DIGITS))
+    rounded = let(F.transform(F.slice("membership", 1, len(keys)), lambda x: F.round(x, DIGITS)), lambda r: F.concat(r, F.array(rest(r))))
+    return found.select("doc_id", "k", "tokens", rounded.alias("membership"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS, doubt: float = LABEL_DOUBT) -> DataFrame:
@@ -249,13 +250,9 @@ def mixture(documents: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS,
     cap_of = F.create_map(*[F.lit(x) for k, c in zip(keys, caps) for x in (k, float(c))])
     likeliest = F.element_at(F.array(*[F.lit(k) for k in keys]), F.array_position(F.slice("membership", 1, len(keys)), F.array_max(F.slice("membership", 1, len(keys)))).cast("int"))
     some = F.exists(F.slice("membership", 1, len(keys)), lambda x: x > 0)
-    members = cut_lineage(
-        memberships(documents, keys, fit_rows, doubt)
-        .withColumn("k", F.coalesce("k", F.when(some, likeliest)))
-        .filter(F.col("k").isin(keys))
-        .withColumn("cap", F.element_at(cap_of, F.col("k"))),
-        "members",
-    )
+    recorded = source_key(F.col("source"))
+    judged = cut_lineage(memberships(documents, keys, fit_rows, doubt, recorded.isNull() | recorded.isin(keys)), "members")
+    members = judged.withColumn("k", F.coalesce("k", F.when(some, likeliest))).filter(F.col("k").isNotNull() & (F.col("tokens") > 0)).withColumn("cap", F.element_at(cap_of, F.col("k")))
     groups = cut_lineage(members.groupBy("membership", "cap").agg(F.sum("tokens").alias("tokens")), "groups")
     steps, total = fit_rates(groups, [*shares, 0.0])
     if not total:

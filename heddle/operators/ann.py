@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.binding import let
-from .vector_search import exact_topk, top_k
+from ..sources.tables import cut_lineage
+from .vector_search import CORPUS_BLOCK, QUERY_BLOCK, exact_topk, packed, scored_blocks, top_k
 
 MAX_CLUSTERS, MAX_ROUNDS, SAMPLE = 4096, 10, 50_000
 #: Recall that a probe count must reach, and rows it is measured on.
@@ -29,6 +34,11 @@ def default_nprobe(clusters: int) -> int:
     return max(1, math.ceil(math.sqrt(clusters)))
 
 
+def files_per_cluster(rows: int, clusters: int = 1, rows_per_file: int = 500_000) -> int:
+    """Parts of a cluster's folder, so that a large cluster is not written by one task."""
+    return max(1, math.ceil(rows / max(clusters, 1) / rows_per_file))
+
+
 def use_clusters(rows: int, clusters: int, nprobe: int, filtered: bool, candidates: int | None = None) -> bool:
     """Whether pruning pays: not for filtered queries, nor when half of the rows would be scanned anyway."""
     pays = not filtered and rows >= 2 and clusters > 1 and nprobe < clusters
@@ -63,8 +73,8 @@ def build_centroids(corpus: DataFrame, ident: str, vector: str = "vector", clust
     """cluster_id, centroid; fitted on at most ``sample`` rows, the first by hash of the id."""
     n = corpus.count()
     share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    taken = corpus.filter(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) <= share).select(ident, F.col(vector).cast("array<double>").alias("v")).orderBy(ident).limit(2 * sample).collect()
-    rows = np.array([r["v"] for r in taken if r["v"]], np.float64)
+    taken = corpus.filter(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) <= share).select(ident, F.col(vector).cast("array<double>").alias("v")).orderBy(ident).limit(2 * sample).toPandas()["v"]
+    rows = np.array([v for v in taken if v is not None and len(v)], np.float64)
     centers = fit_centroids(rows, clusters or cluster_count(n))
     return corpus.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
 
@@ -80,15 +90,31 @@ def centroids_from_assignment(assigned: DataFrame, vector: str = "vector") -> Da
 def assign(corpus: DataFrame, centroids: DataFrame, ident: str, vector: str = "vector", digits: int = 9) -> DataFrame:
     """Adds ``cluster_id``, the centroid with the greatest dot product, ties to the lowest id.
 
-    Centroids are at most ``MAX_CLUSTERS`` rows; they are folded into one array
-    and each row picks its own cluster, without any shuffle.
+    Centroids are at most ``MAX_CLUSTERS`` rows; they go to the tasks as one
+    matrix, which is multiplied with each Arrow batch, without any shuffle. Rows
+    whose vector is null or of another length fall to the lowest id.
     """
     every = [(r[0], r[1]) for r in centroids.select("cluster_id", "centroid").orderBy("cluster_id").limit(MAX_CLUSTERS + 1).collect()]
     if len(every) > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in every])
-    scored = F.transform(table, lambda t: F.struct(F.round(V.dot(F.col(vector), t["c"]), digits).alias("s"), (-t["i"]).alias("i")))
-    return corpus.withColumn("cluster_id", -F.array_max(scored)["i"])
+    if not every:
+        return corpus.withColumn("cluster_id", F.lit(None).cast("int"))
+    ids, matrix = np.array([i for i, _ in every], np.int32), np.array([c for _, c in every], np.float64)
+    at, columns = corpus.columns.index(vector), [c for c in corpus.columns if c != "cluster_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            fits = np.asarray(column.value_lengths().fill_null(0)) == matrix.shape[1]
+            flat = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            own = np.full(batch.num_rows, ids[0], np.int32)
+            if fits.any():
+                own[fits] = ids[np.argmax(np.round(flat.reshape(-1, matrix.shape[1]) @ matrix.T, digits), 1)]
+            kept = [batch.column(batch.schema.names.index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(own)], names=[*columns, "cluster_id"])
+
+    schema = T.StructType([corpus.schema[c] for c in columns] + [T.StructField("cluster_id", T.IntegerType())])
+    return corpus.mapInArrow(run, schema)
 
 
 def probe(queries: DataFrame, centroids: DataFrame, sizes: DataFrame, nprobe: int, min_candidates: int, digits: int = 9) -> DataFrame:
@@ -132,13 +158,19 @@ def probes_for_recall(assigned: DataFrame, centroids: DataFrame, k: int, ident:
 def ann_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, nprobe: int | None = None, ident: str = "document_id", vector: str = "vector", digits: int = 6) -> DataFrame:
     """Exact scores over the probed clusters; ``assigned`` carries ``cluster_id`` (partition the table by it to prune files).
 
-    Without ``nprobe`` the count comes from ``probes_for_recall``.
+    Without ``nprobe`` the count comes from ``probes_for_recall``. Rows and
+    queries are packed per cluster into blocks of bounded size, so a large
+    cluster is many blocks and its vectors are not copied for every query; each
+    pair of blocks returns its best k per query. Which clusters are asked for at
+    all is known before the scan (at most ``MAX_CLUSTERS`` numbers).
     """
     sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    wanted = probe(queries, centroids, sizes, nprobe or probes_for_recall(assigned, centroids, k, ident, vector), k)
-    asked = wanted.join(queries, "query_id").select("query_id", "cluster_id", F.col("vector").alias("__q"))
-    scored = assigned.join(asked, "cluster_id").select("query_id", ident, V.dot(F.col("__q"), F.col(vector)).alias("score"))
-    return top_k(scored, k, ident, digits=digits).select("query_id", "rank", "score", ident)
+    wanted = cut_lineage(probe(queries, centroids, sizes, nprobe or probes_for_recall(assigned, centroids, k, ident, vector), k), "probes")
+    clusters = [r[0] for r in wanted.select("cluster_id").distinct().limit(MAX_CLUSTERS).collect()]
+    asked = wanted.join(queries, "query_id").select("query_id", "vector", "cluster_id")
+    rows = assigned.filter(F.col("cluster_id").isin(clusters)).select(ident, F.col(vector).alias("vector"), "cluster_id")
+    pairs = scored_blocks(packed(asked, "query_id", "vector", QUERY_BLOCK, group="cluster_id"), packed(rows, ident, "vector", CORPUS_BLOCK, group="cluster_id"), k, ident, digits=digits, grouped=True)
+    return top_k(pairs, k, ident).select("query_id", "rank", "score", ident)
 
 
 def rescore(coarse: DataFrame, originals: DataFrame, queries: DataFrame, k: int, ident: str = "document_id", digits: int = 6) -> DataFrame:

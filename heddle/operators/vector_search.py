@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Items per packed row.
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+#: Keys that the blocks of one group are dealt to.
+SALTS = 8
 
 
 def top_k(scored: DataFrame, k: int, ident: str, score: str = "score", by: str = "query_id", digits: int | None = None) -> DataFrame:
@@ -32,60 +34,68 @@ def top_k(scored: DataFrame, k: int, ident: str, score: str = "score", by: str =
 
 
 def _pack(block: int, unit: bool):
-    """Rows (id, vector, group sizes) to packed rows: dim, ids, sizes, data.
+    """Rows (id, vector, parts, group) to packed rows: dim, group, ids, parts, data.
 
     The vector column holds one vector, or the vectors of the item one after
-    another with their number in ``parts``; items of different dim go to different rows.
+    another with their number in ``parts``; items of different dim or group go to different rows.
     """
 
+    def flush(dim: int, group: int, held: list, id_type: pa.DataType) -> pa.RecordBatch:
+        rows = np.concatenate([h[2] for h in held]).reshape(-1, dim)
+        if unit:
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+        ids = pa.concat_arrays([h[0] for h in held])
+        offsets = pa.array([0, len(ids)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([dim], pa.int32()),
+                pa.array([group], pa.int32()),
+                pa.ListArray.from_arrays(offsets, ids),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([h[1] for h in held]), pa.int32())),
+                pa.array([rows.astype("<f8").tobytes()], pa.binary()),
+            ],
+            names=["dim", "group", "ids", "parts", "data"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        waiting: dict[tuple[int, int], list] = {}
         id_type = None
-
-        def flush(dim: int, entries: list) -> pa.RecordBatch:
-            rows = np.concatenate([e[2] for e in entries]).reshape(-1, dim)
-            if unit:
-                norm = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-            ids = pa.array([e[0] for e in entries], id_type)
-            offsets = pa.array([0, len(entries)], pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([dim], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, ids),
-                    pa.ListArray.from_arrays(offsets, pa.array([e[1] for e in entries], pa.int32())),
-                    pa.array([rows.astype("<f8").tobytes()], pa.binary()),
-                ],
-                names=["dim", "ids", "parts", "data"],
-            )
-
         for batch in batches:
             id_type = batch.column(0).type
-            column, parts = batch.column(1), batch.column(2).to_pylist()
-            sizes = np.asarray(column.value_lengths().fill_null(0))
+            column = batch.column(1)
+            sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
+            parts = np.asarray(batch.column(2).fill_null(0), np.int64)
+            groups = np.asarray(batch.column(3).fill_null(-1), np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            ends = np.cumsum(sizes)
-            for ident, n, size, end in zip(batch.column(0).to_pylist(), parts, sizes.tolist(), ends.tolist()):
-                if not size or not n or size % n:
-                    continue
-                entries = held.setdefault(size // n, [])
-                entries.append((ident, n, flat[end - size : end]))
-                if len(entries) == block:
-                    yield flush(size // n, held.pop(size // n))
-        for dim, entries in held.items():
-            yield flush(dim, entries)
+            begin = np.cumsum(sizes) - sizes
+            sound = (sizes > 0) & (parts > 0) & (sizes % np.maximum(parts, 1) == 0)
+            dims = np.where(sound, sizes // np.maximum(parts, 1), 0)
+            for dim, group in np.unique(np.stack([dims[sound], groups[sound]], 1), axis=0).tolist() if sound.any() else []:
+                rows = np.flatnonzero(sound & (dims == dim) & (groups == group))
+                held = waiting.setdefault((dim, group), [])
+                while len(rows):
+                    some, rows = rows[: block - sum(len(h[1]) for h in held)], rows[block - sum(len(h[1]) for h in held) :]
+                    spread = np.repeat(begin[some] - (np.cumsum(sizes[some]) - sizes[some]), sizes[some]) + np.arange(sizes[some].sum())
+                    held.append((batch.column(0).take(pa.array(some)), parts[some], flat[spread]))
+                    if sum(len(h[1]) for h in held) >= block:
+                        yield flush(dim, group, held, id_type)
+                        held.clear()
+        for (dim, group), held in waiting.items():
+            if held:
+                yield flush(dim, group, held, id_type)
 
     return run
 
 
-def packed(rows: DataFrame, ident: str, vector: str, block: int, unit: bool = False, nested: bool = False) -> DataFrame:
-    """``rows`` as packed blocks; null and empty vectors are passed over."""
+def packed(rows: DataFrame, ident: str, vector: str, block: int, unit: bool = False, nested: bool = False, group: str | None = None) -> DataFrame:
+    """``rows`` as packed blocks, each of one ``group`` (an int column) if given; null and empty vectors are passed over."""
     flat = F.flatten(vector) if nested else F.col(vector)
     parts = F.size(vector) if nested else F.lit(1)
     schema = T.StructType(
-        [T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema[ident].dataType)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]
+        [T.StructField("dim", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema[ident].dataType)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]
     )
-    kept = rows.filter(F.col(vector).isNotNull()).select(ident, flat.cast("array<double>").alias("v"), parts.alias("parts"))
+    kept = rows.filter(F.col(vector).isNotNull()).select(ident, flat.cast("array<double>").alias("v"), parts.alias("parts"), (F.col(group).cast("int") if group else F.lit(0)).alias("group"))
     return kept.mapInArrow(_pack(block, unit), schema)
 
 
@@ -94,9 +104,14 @@ def _dot_scores(q: np.ndarray, c: np.ndarray, q_parts: np.ndarray, c_parts: np.n
 
 
 def scored_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, ident: str, score: Callable = _dot_scores, digits: int = 6
+    queries: DataFrame, corpus: DataFrame, k: int, ident: str, score: Callable = _dot_scores, digits: int = 6, grouped: bool = False
 ) -> DataFrame:
-    """query_id, id, score: the best ``k`` (and ties) of every pair of packed blocks."""
+    """query_id, id, score: the best ``k`` (and ties) of every pair of packed blocks of one group and dim.
+
+    Ungrouped blocks all meet, which is queries x rows work for a stated set of
+    queries. Blocks of groups meet by an equi-join, in which the blocks of a
+    group are dealt to ``SALTS`` keys, so that a large group is no single task.
+    """
     q_type, id_type = queries.schema["ids"].dataType.elementType, corpus.schema["ids"].dataType.elementType
     q_arrow, id_arrow = to_arrow_type(q_type), to_arrow_type(id_type)
     out = T.StructType([T.StructField("query_id", q_type), T.StructField(ident, id_type), T.StructField("score", T.DoubleType())])
@@ -124,8 +139,12 @@ def scored_blocks(
                     names=["query_id", ident, "score"],
                 )
 
-    sides = [df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("dim", "ids", "parts", "data")]) for s, df in (("c", corpus), ("q", queries))]
-    return sides[0].crossJoin(sides[1]).mapInArrow(run, out)
+    sides = [df.select("group", *[F.col(c).alias(f"{s}_{c}") for c in ("dim", "ids", "parts", "data")]) for s, df in (("c", corpus), ("q", queries))]
+    if not grouped:
+        return sides[0].drop("group").crossJoin(sides[1].drop("group")).mapInArrow(run, out)
+    dealt = sides[0].withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(SALTS)))
+    every = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return dealt.join(every, ["group", "salt"]).drop("group", "salt").mapInArrow(run, out)
 
 
 def exact_topk(

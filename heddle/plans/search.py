@@ -33,6 +33,15 @@ def resolve_mode(mode: str | None, has_text_index: bool) -> str:
     return mode
 
 
+def with_vectors(queries: DataFrame, mode: str, embed: Callable[[Column], Column], dim: int) -> DataFrame:
+    """Adds the vectors of text queries where the mode needs them; given vectors stay. A lexical part needs text."""
+    if mode != "vector" and "text" not in queries.columns:
+        raise ValueError(f"{mode} search needs the text of the queries")
+    if mode == "lexical" or "vector" in queries.columns:
+        return queries
+    return queries.withColumn("vector", embed(F.col("text")).cast("array<double>"))
+
+
 @dataclass
 class Results:
     """hits: query_id, rank, score, chunk_id, document_id, metadata; total_considered: matching documents."""
@@ -56,7 +65,7 @@ def search(
     width = k if mode != "hybrid" else pool_width(k)
     lists = []
     if mode != "lexical":
-        asked = queries.withColumn("vector", embed(F.col("text")).cast("array<double>")) if "vector" not in queries.columns else queries
+        asked = with_vectors(queries, mode, embed, dim)
         lists.append(exact_topk(asked, allowed, width, "chunk_id", "vector", digits=digits).withColumn("list_id", F.lit(0)))
     if mode != "vector":
         worded = queries.select("query_id", tokenize(F.col("text")).alias("tokens"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from heddle.sources import importers
 from heddle.sources.store import Collection, Config, Spaces, StoreError, needs_compaction
-from heddle.streaming.log import LOG, STATE, LogError, LogFolder, check_ascending, check_log, checkpoint_due, fold
+from heddle.streaming.log import LOG, STATE, Appender, LogError, LogFolder, check_ascending, check_log, checkpoint_due, fold, read_segment, write_segment
 
 from .conftest import rows, settle
 
@@ -174,14 +174,75 @@ def test_log_checks(spark):
     assert checkpoint_due(1000, 0) and checkpoint_due(0, 1 << 27) and not checkpoint_due(1, 1)
 
 
+def lines(records):
+    return "".join(json.dumps({"lsn": n, "op": o, "payload": p}) + "\n" for n, o, p in records)
+
+
 def test_folder_stream(spark, tmp_path):
     log_dir = tmp_path / "log"
     log_dir.mkdir()
-    put = lambda name, records: (log_dir / name).write_text("\n".join(json.dumps({"lsn": n, "op": o, "payload": p}) for n, o, p in records))
-    put("1.json", RECORDS[:5])
+    (log_dir / "1.json").write_text(lines(RECORDS[:5]))
     folder = LogFolder(spark, str(log_dir), f"{tmp_path}/out")
     folder.run()
     assert folder.applied_lsn() == 5
-    put("2.json", RECORDS[5:])
+    (log_dir / "2.json").write_text(lines(RECORDS[5:]))
     (log_dir / "3.json").write_text('{"lsn": 13, "op": "delete_docu')  # torn
     assert rows(folder.run(1), "document_id", "metadata", "text", "lsn") == WANT
+    assert rows(folder.rejected()) == [('{"lsn": 13, "op": "delete_docu',)] and folder.applied_lsn() == 12
+    folder.checkpoint()
+    assert rows(folder.state(), "document_id", "metadata", "text", "lsn") == WANT and folder.folder.names("delta") == []
+    (log_dir / "4.json").write_text(lines([(14, "rename", "{}")]))
+    with pytest.raises(Exception, match="unsupported record"):
+        folder.run()
+
+
+def test_folder_takes_records_late_and_again(spark, tmp_path):
+    """Every record in a file of its own, in an order as bad as it gets, some twice, with a checkpoint in between."""
+    log_dir = tmp_path / "log"
+    log_dir.mkdir()
+    folder = LogFolder(spark, str(log_dir), f"{tmp_path}/out")
+    order = [11, 7, 2, 0, 8, 4, 10, 3, 6, 1, 9, 5]
+    for i, n in enumerate(order[:7]):
+        (log_dir / f"{i}.json").write_text(lines([RECORDS[n]]))
+    folder.run(3)
+    folder.checkpoint()
+    assert folder.has_applied(12) and not folder.has_applied(10)
+    for i, n in enumerate(order[7:] + [0, 6, 9, 11]):
+        (log_dir / f"later{i}.json").write_text(lines([RECORDS[n]]))
+    assert rows(folder.run(4), "document_id", "metadata", "text", "lsn") == WANT
+    # a delete is the last record of its document: the upsert before it, delivered again, must not bring it back
+    (log_dir / "z1.json").write_text(lines([set_(20, "x"), record(25, "delete_documents", document_ids=["x"])]))
+    folder.run()
+    (log_dir / "z2.json").write_text(lines([set_(20, "x"), set_(15, "y")]))
+    assert {r["document_id"] for r in folder.run().collect()} == {"a", "b", "d", "y"} and folder.applied_lsn() == 25
+
+
+def test_appending(spark, tmp_path):
+    log_dir = f"{tmp_path}/log"
+    first, second = Appender(spark, log_dir), Appender(spark, log_dir)
+    assert first.append([("upsert_vectors", {"documents": [{"document_id": "a", "text": "t", "metadata": {}, "vector": [1.0]}]})]) == [1]
+    assert second.append([("update_document_payload", {"document_id": "a", "text": "u"}), ("delete_documents", {"document_ids": ["q"]})]) == [2, 3]
+    for bad in ([("rename", {})], [("delete_documents", {"document_ids": []})], [("upsert_vectors", {"documents": [{"text": "t"}]})]):
+        with pytest.raises(LogError):
+            first.append(bad)
+    many = spark.range(50).selectExpr("concat('m', id) document_id", "'x' text", "map('n', string(id)) metadata", "array(float(id)) vector")
+    lo, hi = second.append_documents(many, per_record=5)
+    assert lo == 4 and hi >= 13
+    folder = LogFolder(spark, log_dir, f"{tmp_path}/out")
+    assert folder.wait_for(hi) and not folder.wait_for(hi + 1, timeout=0.1)
+    state = {r["document_id"]: r["text"] for r in folder.state().collect()}
+    assert len(state) == 51 and state["a"] == "u"
+    assert len({first.allocate(3) for _ in range(4)} | {second.allocate(2) for _ in range(4)}) == 8
+
+
+def test_segments(spark, tmp_path):
+    log = spark.createDataFrame(RECORDS, LOG)
+    assert write_segment(log, f"{tmp_path}/s")["records"] == 12
+    assert rows(read_segment(spark, f"{tmp_path}/s")) == rows(log)
+    for p in (tmp_path / "s" / "records").glob("part-*.json"):
+        p.write_text(p.read_text().replace("first", "frist"))
+        (tmp_path / "s" / "records" / f".{p.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(LogError):
+        read_segment(spark, f"{tmp_path}/s")
+    with pytest.raises(LogError):
+        read_segment(spark, f"{tmp_path}/nowhere")

@@ -40,7 +40,7 @@ class AsOf:
 
     @classmethod
     def parse(cls, value: Any, clock: int) -> AsOf:
-        """None, "now_valid"/"strict", "all"/"history", a time or a (valid, known) pair."""
+        """None, "now_valid"/"strict", "all"/"history" in any case, a time or a (valid, known) pair."""
         if value is None:
             return cls.now()
         if isinstance(value, AsOf):
@@ -49,9 +49,9 @@ class AsOf:
             raise TypeError("a boolean is no time")
         if isinstance(value, int):
             return cls.at(value)
-        if isinstance(value, str) and value in ("now_valid", "strict"):
+        if isinstance(value, str) and value.strip().lower() in ("now_valid", "strict"):
             return cls.now_valid(clock)
-        if isinstance(value, str) and value in ("all", "history"):
+        if isinstance(value, str) and value.strip().lower() in ("all", "history"):
             return cls.all()
         if isinstance(value, tuple) and len(value) == 2 and all(isinstance(x, int) and not isinstance(x, bool) for x in value):
             return cls.at_known(*value)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
 from .binding import let
 from .vectors import l2_normalize
 
@@ -57,6 +58,25 @@ def stable_id(text: Column) -> Column:
     return F.when(value == 0, F.lit(1).cast("decimal(20,0)")).otherwise(value)
 
 
+def repair_collisions(ids: DataFrame, order: str, stable: str = "stable_id") -> DataFrame:
+    """Distinct stable ids: of rows with the same one the first by ``order`` keeps it, the others move to the next free number.
+
+    The result is that of numbering the rows one after the other. Numbers wrap
+    from 2^64 - 1 to 1, as 0 is none. Collisions of 64-bit hashes are rare, so
+    usually one pass finds nothing to do; every further pass moves the rows that
+    had to yield by one.
+    """
+    top, kind = (1 << 64) - 1, "decimal(20,0)"
+    rows = ids
+    first = Window.partitionBy(stable).orderBy(order)
+    while True:
+        placed = cut_lineage(rows.withColumn("__place", F.row_number().over(first)), "stable")
+        if placed.filter("__place > 1").isEmpty():
+            return placed.drop("__place")
+        moved = F.when(F.col(stable) == F.lit(str(top)).cast(kind), F.lit(1).cast(kind)).otherwise((F.col(stable) + 1).cast(kind))
+        rows = placed.withColumn(stable, F.when(F.col("__place") > 1, moved).otherwise(F.col(stable))).drop("__place")
+
+
 def edge_id(src: Column, relation: Column, dst: Column) -> Column:
     return F.concat_ws(":", src, relation, dst)
 

@@ -58,19 +58,36 @@ def valid_vector(v: Column, dim: int | None = None) -> Column:
     return finite & (F.size(v) > 0) if dim is None else finite & (F.size(v) == dim)
 
 
+def _lists(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all numbers of all vectors, where each begins, how many it has); null vectors have none."""
+    sizes = np.array([0 if v is None else len(v) for v in vectors], np.int64)
+    there = [v for v in vectors if v is not None and len(v)]
+    return np.concatenate(there) if there else np.empty(0), np.cumsum(sizes) - sizes, sizes
+
+
 @F.pandas_udf(T.StringType())
 def sha256_f32(vectors: pd.Series) -> pd.Series:
-    """Hex SHA-256 of the little-endian float32 bytes."""
+    """Hex SHA-256 of the little-endian float32 bytes; the batch is converted at once, only the hash is per row."""
     from hashlib import sha256
 
-    return vectors.map(lambda v: None if v is None else sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
+    flat, begin, size = _lists(vectors)
+    raw = memoryview(np.ascontiguousarray(flat, "<f4").tobytes())
+    return pd.Series([None if v is None else sha256(raw[4 * b : 4 * (b + n)]).hexdigest() for v, b, n in zip(vectors, begin, size)], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def f16_encode(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())
+    flat, begin, size = _lists(vectors)
+    raw = np.ascontiguousarray(flat, "<f2").tobytes()
+    return pd.Series([None if v is None else raw[2 * b : 2 * (b + n)] for v, b, n in zip(vectors, begin, size)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def f16_decode(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
+    there = blobs.notna().to_numpy()
+    sizes = np.array([len(b) // 2 for b in blobs[there]], np.int64)
+    flat = np.frombuffer(b"".join(blobs[there]), "<f2").astype(np.float32)
+    out = np.full(len(blobs), None, object)
+    for i, part in zip(np.flatnonzero(there), np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []):
+        out[i] = part
+    return pd.Series(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import edge_id
 from ..sources.tables import cut_lineage
 
+logger = logging.getLogger(__name__)
+
 DIRECTIONS = ("out", "in", "both")
 #: Hops after which the lineage of the traversal is cut by a written table.
 CUT_EVERY = 3
@@ -17,11 +21,12 @@ CUT_EVERY = 3
 
 @dataclass
 class Subgraph:
-    """nodes: id, hop; edges: all columns of the edge table; seeds: id, score."""
+    """nodes: id, hop; edges: all columns of the edge table; seeds: id, score; ``truncated`` tells whether ``max_nodes`` cut it short."""
 
     nodes: DataFrame
     edges: DataFrame
     seeds: DataFrame
+    truncated: bool = False
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -86,7 +91,8 @@ def k_hop(
     Each hop follows the edges of the nodes found in the hop before and keeps
     all of them, also those that lead back; the nodes of the last hop are
     returned, their edges are not. Seeds are kept even if no edge knows them.
-    ``max_nodes`` stops at that many nodes, nearer hops and smaller ids first.
+    ``max_nodes`` stops at that many nodes, nearer hops and smaller ids first,
+    and the result and a warning say so if any were left out.
     ``node_gate`` (id): only edges between two such nodes are followed, and only
     such seeds. Null ends lead nowhere. k = 0 gives the seeds alone.
     """
@@ -100,31 +106,38 @@ def k_hop(
         edges = edges.join(gate.withColumnRenamed("id", "src"), "src", "left_semi").join(gate.withColumnRenamed("id", "dst"), "dst", "left_semi")
         start = start.join(gate, "id", "left_semi")
     visited = start.withColumn("hop", F.lit(0))
-    frontier, followed = start, None
+    frontier, followed, truncated = start, None, False
     for hop in range(1, k + 1):
         found = incident(edges, frontier, direction)
         followed = found if followed is None else followed.unionByName(found)
         ends = {"out": ["dst"], "in": ["src"], "both": ["src", "dst"]}[direction]
         reached = found.select(F.explode(F.array(*ends)).alias("id")).distinct().join(visited, "id", "left_anti")
         if max_nodes is not None:
-            reached = reached.orderBy("id").limit(max(0, max_nodes - visited.count()))
+            room = max(0, max_nodes - visited.count())
+            if reached.limit(room + 1).count() > room:
+                truncated = True
+                logger.warning("the traversal stopped at %s nodes in hop %s; the subgraph is partial", max_nodes, hop)
+            reached = reached.orderBy("id").limit(room)
         if hop % CUT_EVERY == 0 and hop < k:
             reached, visited, followed = (cut_lineage(x, "hop") for x in (reached, visited, followed))
         visited = visited.unionByName(reached.withColumn("hop", F.lit(hop)))
         frontier = reached
     none = edges.limit(0)
     links = followed.dropDuplicates(["id"]) if followed is not None else none
-    return Subgraph(visited, links, start.withColumn("score", F.lit(None).cast("double")))
+    return Subgraph(visited, links, start.withColumn("score", F.lit(None).cast("double")), truncated)
 
 
 def search_subgraph(edges: DataFrame, scored_seeds: DataFrame, k: int, **options) -> Subgraph:
     """Expands ranked seeds (id, score); all of them stay in the result."""
     grown = k_hop(edges, scored_seeds, k, **options)
-    return Subgraph(grown.nodes, grown.edges, scored_seeds.select("id", "score"))
+    return Subgraph(grown.nodes, grown.edges, scored_seeds.select("id", "score"), grown.truncated)
 
 
 def _has_property(properties: Column, wanted: dict) -> Column:
-    tests = [F.coalesce(F.get_json_object(properties, f"$.{k}") == F.lit(str(v)), F.lit(False)) for k, v in wanted.items()]
+    """Whether any top-level property has its wanted value; other values than texts are compared as JSON writes them."""
+    held = F.coalesce(F.from_json(properties, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    text = lambda v: v if isinstance(v, str) else json.dumps(v)
+    tests = [F.coalesce(F.try_element_at(held, F.lit(k)) == F.lit(text(v)), F.lit(False)) for k, v in wanted.items()]
     found = tests[0]
     for t in tests[1:]:
         found = found | t
@@ -188,6 +201,16 @@ def remove_triplets(nodes: DataFrame, edges: DataFrame, properties: dict | None
     return nodes, edges
 
 
+def ingest(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after one batch of nodes and edges; edges without id get one from their triple, blank ends are refused."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    bad = new_edges.filter(blank("src") | blank("dst") | blank("relation")).select("src", "relation", "dst").limit(3).collect()
+    bad += new_nodes.filter(blank("id")).limit(3).collect()
+    if bad:
+        raise ValueError(f"blank ids or relations: {[tuple(b) for b in bad]}")
+    return upsert(nodes, new_nodes), upsert(edges, with_edge_ids(new_edges))
+
+
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that no node has."""
     known = nodes.select("id").distinct()

@@ -20,8 +20,8 @@ def with_tokens(units: DataFrame, text: str = "text") -> DataFrame:
 
 
 def corpus_stats(units: DataFrame) -> DataFrame:
-    """One row: n, avgdl; units without tokens count."""
-    return units.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size("tokens"), F.lit(0)).cast("double")).alias("avgdl"))
+    """One row: n, avgdl; units with an empty token list count, those with none (null) are not indexed by words."""
+    return units.agg(F.count("tokens").alias("n"), F.avg(F.when(F.col("tokens").isNotNull(), F.size("tokens")).cast("double")).alias("avgdl"))
 
 
 def postings(units: DataFrame, unit: str) -> DataFrame:

@@ -55,9 +55,11 @@ def _blank(*columns: str):
 # --- reads
 
 
-def entities_as_of(entities: DataFrame, frame: AsOf, type: str | None = None) -> DataFrame:
+def entities_as_of(entities: DataFrame, frame: AsOf, type: str | None = None, ordered: bool = False) -> DataFrame:
+    """Entities under a frame, in no order unless ``ordered`` by id and created_at."""
     kept = entities.filter(frame.predicate())
-    return kept.filter(F.col("type") == type) if type is not None else kept
+    kept = kept.filter(F.col("type") == type) if type is not None else kept
+    return kept.orderBy("id", "created_at") if ordered else kept
 
 
 def facts_as_of(facts: DataFrame, frame: AsOf, node: str | None = None, direction: str = "both", relation: str | None = None) -> DataFrame:
@@ -110,6 +112,11 @@ def facts_by_episode(facts: DataFrame, episode: str) -> DataFrame:
     return facts.filter(F.array_contains("episodes", episode)).orderBy("created_at", "id")
 
 
+def provenance(facts: DataFrame) -> DataFrame:
+    """episode_id, id, place: every link of a fact to an episode, once; place 0 is the fact's first source."""
+    return facts.select("id", F.posexplode("episodes").alias("place", "episode_id")).filter("episode_id is not null").distinct()
+
+
 def mention_counts(mentions: DataFrame) -> DataFrame:
     """entity_id, mentions: number of distinct episodes."""
     return mentions.distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions"))
@@ -141,11 +148,16 @@ def dangling(tables: TemporalTables) -> DataFrame:
 
 
 def add_episodes(tables: TemporalTables, batch: DataFrame, mentions: DataFrame | None = None) -> TemporalTables:
-    """Adds episodes; an identical one again is no change, a different one under a known id is refused, as are mentions of unknown entities."""
+    """Adds episodes; an identical one again is no change.
+
+    A different one under a known id, or two different ones of an id in the
+    batch, are refused, as are mentions of unknown entities. created_at may differ: the earliest counts.
+    """
     payload = [c for c in tables.episodes.columns if c != "created_at"]
+    _refuse(batch.select(*payload).distinct().groupBy("id").count().filter("count > 1").select("id"), "episodes of one id differ in the batch")
     known = tables.episodes.select("id", F.struct(*payload).alias("old"))
     _refuse(batch.join(known, "id").filter(~F.struct(*payload).eqNullSafe(F.col("old"))).select("id"), "episodes exist with other content")
-    fresh = batch.dropDuplicates(["id"]).join(known, "id", "left_anti").select(*tables.episodes.columns)
+    fresh = batch.groupBy(*payload).agg(F.min("created_at").alias("created_at")).join(known, "id", "left_anti").select(*tables.episodes.columns)
     linked = tables.mentions
     if mentions is not None:
         _refuse(mentions.join(tables.entities.select(F.col("id").alias("entity_id")), "entity_id", "left_anti"), "mentions of unknown entities")
@@ -262,6 +274,18 @@ def invalidate_facts(tables: TemporalTables, ids: DataFrame, now: int) -> Tempor
     return replace(tables, facts=facts.select(*tables.facts.columns))
 
 
+def changed_by(tables: TemporalTables, ids: DataFrame) -> DataFrame:
+    """Of the facts to be invalidated (id) those that will change: known and not expired yet."""
+    return tables.facts.filter("expired_at is null").select("id").distinct().join(ids.select("id"), "id", "left_semi")
+
+
+def stats(tables: TemporalTables, index: DataFrame | None = None) -> DataFrame:
+    """entities, facts (distinct ids), indexed_documents."""
+    ids = lambda df, name: df.agg(F.countDistinct("id").alias(name))
+    units = index.agg(F.count(F.lit(1)).alias("indexed_documents")) if index is not None else tables.entities.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("indexed_documents"))
+    return ids(tables.entities, "entities").crossJoin(ids(tables.facts, "facts")).crossJoin(units)
+
+
 def remove_episode(tables: TemporalTables, episode: str) -> TemporalTables:
     """Removes an episode, the facts it is the first source of, and its link from the others."""
     first = F.coalesce(F.try_element_at("episodes", F.lit(1)) == episode, F.lit(False))

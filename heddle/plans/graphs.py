@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.frames import AsOf, encode_ts
 from ..operators import fusion, graph, temporal_graph as tg
 from ..operators.vector_search import exact_topk
 from ..sources import sync
-from ..sources.tables import table
+from ..sources.tables import cut_lineage, table
 from ..streaming.log import document_changes, fold, last_writers
 
 T0, T1 = 1_700_000_000_000, 1_680_000_000_000
@@ -147,10 +149,18 @@ def fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_of_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of every episode, counted by first and by any provenance."""
-    links = table(spark, sf_dir, "facts").select("id", F.posexplode("episodes").alias("place", "episode_id")).distinct()
+    links = tg.provenance(table(spark, sf_dir, "facts"))
     return links.groupBy("episode_id").agg(F.countDistinct("id").alias("facts"), F.count_if(F.col("place") == 0).alias("owned"))
 
 
+def facts_by_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the episode that the most facts name (the smallest id of several)."""
+    facts = table(spark, sf_dir, "facts")
+    counts = tg.provenance(facts).groupBy("episode_id").agg(F.countDistinct("id").alias("n"))
+    most = counts.orderBy(F.desc("n"), "episode_id").first()
+    return tg.facts_by_episode(facts, most[0] if most else "").select("id", "created_at").distinct()
+
+
 def reference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tg.reference_times(table(spark, sf_dir, "facts").select("id", "episodes").distinct(), table(spark, sf_dir, "episodes"))
 
@@ -175,10 +185,53 @@ def temporal_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tg.dangling(tg.TemporalTables(p, e, f, empty.mentions, empty.versions))
 
 
+def _event_facts(spark: SparkSession, sf_dir: str) -> tuple[tg.TemporalTables, DataFrame]:
+    """Users and event types as entities, and events as facts between them, numbered per user."""
+    e = table(spark, sf_dir, "events").select(
+        F.format_string("e%d", "event_id").alias("id"), F.format_string("u%d", "user_id").alias("src"), F.lit("did").alias("relation"), F.concat(F.lit("t-"), "event_type").alias("dst"), F.col("event_id").alias("valid_at"),
+    )
+    w = Window.partitionBy("src").orderBy("valid_at")
+    facts = e.select("*", F.concat_ws(" ", "src", "dst").alias("fact"), F.lit("{}").alias("properties"), F.array().cast("array<string>").alias("episodes"), F.row_number().over(w).alias("n"), F.lag("id").over(w).alias("before"))
+    names = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    none = {c: F.lit(None).cast("bigint") for c in ("valid_at", "invalid_at", "expired_at")}
+    empty = tg.TemporalTables.empty(spark)
+    entities = names.select("id", F.lit("t").alias("type"), F.col("id").alias("label"), F.lit("{}").alias("properties"), F.lit(1).cast("bigint").alias("created_at")).withColumns(none)
+    return tg.TemporalTables(empty.episodes, cut_lineage(entities.select(*empty.entities.columns), "entities"), empty.facts, empty.mentions, empty.versions), cut_lineage(facts, "facts")
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tg.TemporalTables:
+    """Each user's events 1, 3, 5, ... are added, then 2, 4, 6, ..., each of which ends the event before it."""
+    tables, facts = _event_facts(spark, sf_dir)
+    batch = lambda odd: facts.filter(F.col("n") % 2 == odd).withColumn("invalidates", F.when(F.lit(odd == 0), F.array("before")).otherwise(F.array().cast("array<string>")))
+    first = tg.add_facts(tables, batch(1), 1_000_000)
+    return tg.add_facts(replace(first, facts=cut_lineage(first.facts, "facts")), batch(0), 2_000_000)
+
+
 def supersede_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event of a user ends the one before: valid_at, invalid_at by lead."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return e.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("superseded_by"))
+    """Events as facts that supersede one another, after both batches."""
+    return _chained(spark, sf_dir).facts.select("id", "valid_at", "invalid_at", "created_at", "expired_at")
+
+
+def invalidate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts that a third of the relations make, closed at a time; those that have expired stay as they are."""
+    f = table(spark, sf_dir, "facts")
+    empty = tg.TemporalTables.empty(spark)
+    ids = f.filter(F.length("relation") % 3 == 0).select("id").distinct().withColumn("invalid_at", F.lit(T0))
+    after = tg.invalidate_facts(tg.TemporalTables(empty.episodes, empty.entities, f, empty.mentions, empty.versions), ids, T0 + 1)
+    return after.facts.select("id", "created_at", "invalid_at", "expired_at").distinct()
+
+
+def temporal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = tg.TemporalTables.empty(spark)
+    tables = tg.TemporalTables(empty.episodes, table(spark, sf_dir, "entities"), table(spark, sf_dir, "facts"), empty.mentions, empty.versions)
+    return tg.stats(tables)
+
+
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after a batch that writes the citations again under another relation and without ids."""
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir).dropDuplicates(["id"])
+    batch = edges.filter("relation = 'cites' and src is not null and dst is not null").select(F.lit(None).cast("string").alias("id"), "src", F.lit("cited").alias("relation"), "dst", F.lit("{}").alias("properties")).distinct()
+    return graph.ingest(nodes.dropDuplicates(["id"]), edges, nodes.limit(0), batch)[1].select("id", "relation")
 
 
 def remove_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,12 +263,12 @@ def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_writers(e, "user_id", "event_id", F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str, dim: int = 1) -> DataFrame:
     """Events as a JSON log: purchase sets, view patches text, click patches metadata, error deletes."""
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("d"), "event_type", "value")
     metadata = F.create_map(F.lit("at"), F.col("event_id").cast("string"))
     text = F.col("event_id").cast("string")
-    doc = F.to_json(F.struct(F.array(F.struct(F.col("d").alias("document_id"), text.alias("text"), metadata.alias("metadata"), F.array(F.lit(1.0)).alias("vector"))).alias("documents")))
+    doc = F.to_json(F.struct(F.array(F.struct(F.col("d").alias("document_id"), text.alias("text"), metadata.alias("metadata"), F.array(*[F.lit(1.0)] * dim).alias("vector"))).alias("documents")))
     op = (
         F.when(F.col("event_type") == "purchase", F.struct(F.lit("upsert_vectors").alias("op"), doc.alias("payload")))
         .when(F.col("event_type") == "error", F.struct(F.lit("delete_documents").alias("op"), F.to_json(F.struct(F.array("d").alias("document_ids"))).alias("payload")))
@@ -325,7 +378,7 @@ SELECT id, CASE WHEN length(n.label) % 2 = 0 THEN upper(n.label) ELSE n.label EN
         "both",
         f"seeds AS (SELECT '{HUB}' AS id)",
         select="""SELECT p.id, CAST(row_number() OVER (ORDER BY hop NULLS LAST, p.id) AS INTEGER) AS rank, CAST(hop AS INTEGER) AS hops
-FROM (SELECT DISTINCT id FROM nodes ORDER BY id LIMIT 200) p LEFT JOIN h2 ON h2.id = p.id""",
+FROM (SELECT DISTINCT id FROM nodes) p LEFT JOIN h2 ON h2.id = p.id""",
     ),
     "mention_rerank": """
 WITH c AS (SELECT json_extract_string(properties, '$.entity_id') AS id, count(DISTINCT id) AS mentions FROM episodes GROUP BY 1),
@@ -336,7 +389,7 @@ SELECT query_id, e.id, coalesce(mentions, 0) AS mentions, CAST(row_number() OVER
     "fact_history": "SELECT DISTINCT id, created_at FROM facts WHERE src = 'ent-00009e37' OR dst = 'ent-00009e37'",
     "facts_of_episode": """
 WITH l AS (SELECT DISTINCT id, i, episodes[i] AS episode_id FROM (SELECT id, episodes, unnest(range(1, len(episodes) + 1)) AS i FROM facts))
-SELECT episode_id, count(DISTINCT id) AS facts, count(*) FILTER (WHERE i = 1) AS owned FROM l GROUP BY episode_id""",
+SELECT episode_id, count(DISTINCT id) AS facts, count(*) FILTER (WHERE i = 1) AS owned FROM l WHERE episode_id IS NOT NULL GROUP BY episode_id""",
     "reference_times": """
 WITH l AS (SELECT DISTINCT id, unnest(episodes) AS episode_id FROM facts)
 SELECT l.id, min(occurred_at) AS reference_time FROM l JOIN episodes e ON e.id = l.episode_id GROUP BY l.id""",
@@ -349,29 +402,42 @@ seeds AS (SELECT id FROM live WHERE id IN ('ent-00009e37', 'ent-hub-lumenpost'))
         "f",
     ),
     "temporal_subgraph": f"""
-WITH live AS (SELECT DISTINCT id FROM entities WHERE {_AT})
-SELECT DISTINCT 'fact:' || id AS id FROM facts WHERE relation = 'located_in' AND {_AT} AND src IN (SELECT id FROM live) AND dst IN (SELECT id FROM live)""",
+WITH live AS (SELECT DISTINCT id FROM entities WHERE {_AT}),
+f AS (SELECT DISTINCT id, src, dst, relation FROM facts WHERE {_AT} AND src IN (SELECT id FROM live) AND dst IN (SELECT id FROM live)),
+s AS (SELECT DISTINCT id, src, dst FROM f WHERE relation = 'located_in'),
+h0 AS (SELECT src AS id, 0 AS hop FROM s UNION SELECT dst, 0 FROM s),
+e1 AS (SELECT * FROM f WHERE src IN (SELECT id FROM h0) OR dst IN (SELECT id FROM h0)),
+h1 AS (SELECT * FROM h0 UNION ALL SELECT DISTINCT id, 1 FROM (SELECT src AS id FROM e1 UNION SELECT dst FROM e1) WHERE id NOT IN (SELECT id FROM h0))
+SELECT id, CAST(hop AS INTEGER) AS hop, CAST(NULL AS DOUBLE) AS score FROM h1 UNION ALL SELECT DISTINCT 'fact:' || id, CAST(NULL AS INTEGER), CAST(1.0 AS DOUBLE) FROM s""",
     "temporal_dangling": """
-WITH f AS (SELECT * FROM facts WHERE dst IS NOT NULL)
-SELECT DISTINCT id, 'entity' AS reason FROM f WHERE src NOT IN (SELECT id FROM entities) OR dst NOT IN (SELECT id FROM entities)
-UNION SELECT id, 'episode' FROM (SELECT id, unnest(episodes) AS e FROM f) WHERE e IS NOT NULL AND e NOT IN (SELECT id FROM episodes)""",
-    "supersede_history": "SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS superseded_by FROM events",
+SELECT DISTINCT id, 'entity' AS reason FROM facts WHERE (src IS NOT NULL AND src NOT IN (SELECT id FROM entities)) OR (dst IS NOT NULL AND dst NOT IN (SELECT id FROM entities))
+UNION SELECT id, 'episode' FROM (SELECT id, unnest(episodes) AS e FROM facts) WHERE e IS NOT NULL AND e NOT IN (SELECT id FROM episodes)""",
+    "supersede_history": """
+WITH n AS (SELECT event_id, row_number() OVER w AS n, lead(event_id) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT 'e' || event_id AS id, CAST(event_id AS BIGINT) AS valid_at, CASE WHEN n % 2 = 1 THEN CAST(nxt AS BIGINT) END AS invalid_at, CAST(CASE WHEN n % 2 = 1 THEN 1000000 ELSE 2000000 END AS BIGINT) AS created_at,
+  CASE WHEN n % 2 = 1 AND nxt IS NOT NULL THEN CAST(2000000 AS BIGINT) END AS expired_at FROM n""",
+    "invalidate_facts": f"""
+SELECT DISTINCT id, created_at, CASE WHEN length(relation) % 3 = 0 AND expired_at IS NULL THEN {T0} ELSE invalid_at END AS invalid_at,
+  CASE WHEN length(relation) % 3 = 0 AND expired_at IS NULL THEN {T0 + 1} ELSE expired_at END AS expired_at FROM facts""",
+    "temporal_stats": "SELECT (SELECT count(DISTINCT id) FROM entities) AS entities, (SELECT count(DISTINCT id) FROM facts) AS facts, CAST(0 AS BIGINT) AS indexed_documents",
+    "ingest_batch": """
+SELECT DISTINCT id, relation FROM edges
+UNION SELECT src || ':cited:' || dst, 'cited' FROM edges WHERE relation = 'cites' AND src IS NOT NULL AND dst IS NOT NULL""",
+    "facts_by_episode": """
+WITH l AS (SELECT DISTINCT id, unnest(episodes) AS e FROM facts), m AS (SELECT e FROM l WHERE e IS NOT NULL GROUP BY e ORDER BY count(DISTINCT id) DESC, e LIMIT 1)
+SELECT DISTINCT id, created_at FROM facts WHERE list_contains(episodes, (SELECT e FROM m))""",
     "remove_episode": """
 WITH f AS (SELECT DISTINCT id, episodes FROM facts), g AS (SELECT min(episodes[1]) AS gone FROM f)
 SELECT DISTINCT id, CAST(len(list_filter(episodes, lambda x: x <> gone)) AS INTEGER) AS sources FROM f, g WHERE episodes[1] IS NULL OR episodes[1] <> gone""",
     "property_lineage": """
 WITH e AS (SELECT id, created_at, min(struct_pack(type := type, label := label, properties := properties, valid_at := valid_at)) AS e FROM entities GROUP BY id, created_at),
-r AS (SELECT id, e.properties AS p, e.valid_at AS valid_at, row_number() OVER (PARTITION BY id ORDER BY created_at) AS n FROM e),
-k AS (SELECT id, valid_at, n, unnest(json_keys(p)) AS key, p FROM r WHERE n <= 2),
-v AS (SELECT id, valid_at, n, key, json_extract_string(p, '$."' || key || '"') AS value FROM k),
-a AS (SELECT * FROM v WHERE n = 1 AND value IS NOT NULL), b AS (SELECT * FROM v WHERE n = 2 AND value IS NOT NULL),
-two AS (SELECT id, valid_at FROM r WHERE n = 2)
-SELECT a.id AS entity_id, a.key AS property_key, a.value, a.valid_at,
-  CASE WHEN two.id IS NOT NULL AND b.value IS DISTINCT FROM a.value THEN coalesce(two.valid_at, 2000) END AS invalid_at, CAST(1000 AS BIGINT) AS created_at,
-  CASE WHEN two.id IS NOT NULL AND b.value IS DISTINCT FROM a.value THEN CAST(2000 AS BIGINT) END AS expired_at
-FROM a LEFT JOIN two ON two.id = a.id LEFT JOIN b ON b.id = a.id AND b.key = a.key
-UNION ALL
-SELECT b.id, b.key, b.value, b.valid_at, NULL, 2000, NULL FROM b LEFT JOIN a ON a.id = b.id AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
+r AS (SELECT id, e.properties AS p, lag(e.properties) OVER w AS o, e.valid_at AS valid_at, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY id ORDER BY created_at)),
+k AS (SELECT id, valid_at, n, o, p, unnest(list_distinct(list_concat(coalesce(json_keys(o), []), coalesce(json_keys(p), [])))) AS key FROM r),
+v AS (SELECT id, valid_at, n, key, json_extract_string(o, '$."' || key || '"') AS ov, json_extract_string(p, '$."' || key || '"') AS nv FROM k),
+c AS (SELECT * FROM v WHERE ov IS DISTINCT FROM nv),
+l AS (SELECT id, key, nv, valid_at, 1000 * n AS made, 1000 * lead(n) OVER w AS next_at, lead(valid_at) OVER w AS next_valid FROM c WINDOW w AS (PARTITION BY id, key ORDER BY n))
+SELECT id AS entity_id, key AS property_key, nv AS value, valid_at, CASE WHEN next_at IS NOT NULL THEN coalesce(next_valid, next_at) END AS invalid_at, CAST(made AS BIGINT) AS created_at,
+  CAST(next_at AS BIGINT) AS expired_at FROM l WHERE nv IS NOT NULL""",
     "encoded_times": """
 SELECT DISTINCT id, CASE WHEN valid_at IS NULL THEN 'a' ELSE 'b' || lpad(CAST(CAST(valid_at AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') END AS since,
   CASE WHEN invalid_at IS NULL THEN 'c' ELSE 'b' || lpad(CAST(CAST(invalid_at AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') END AS until FROM facts""",
@@ -407,7 +473,7 @@ QUERIES = {
         for f in (
             graph_neighbors, graph_neighbors_in, khop_nodes, khop_edges, khop_relation, subgraph_search, graph_triplets, graph_triplets_entity, relation_map, nodes_by_property, graph_stats,
             dangling_edges, remove_nodes, upsert_nodes, distance_rerank, mention_rerank, entities_as_of, fact_history, facts_of_episode, reference_times, temporal_khop, temporal_subgraph,
-            temporal_dangling, supersede_history, remove_episode, property_lineage, encoded_times, log_fold, log_changes, log_fold_partial, fold_in_two_steps, inventory_diff, sync_states,
+            temporal_dangling, supersede_history, invalidate_facts, temporal_stats, ingest_batch, facts_by_episode, remove_episode, property_lineage, encoded_times, log_fold, log_changes, log_fold_partial, fold_in_two_steps, inventory_diff, sync_states,
         )
     },
 }

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..functions.predicate import from_conditions, from_memory_filters, from_tags, metadata_filter
+from ..functions.predicate import apply_filter, from_conditions, from_memory_filters, from_tags, metadata_filter
 from ..operators import ann, fusion, lexical, multivec
 from ..operators.vector_search import batch_arrays, exact_topk
 from ..sources.store import changed_rows, list_page, plan_chunks, vectors_by_request
 from ..sources.tables import table
-from .search import pool_width
+from .search import pool_width, search
 
 K = 10
 # fixed values: the characters with the Unicode property White_Space, for the SQL engine's regular expressions
@@ -59,7 +59,20 @@ FILTERS = [
 ]
 
 
+#: Metadata fields and the columns of ``documents`` that hold them.
+FIELDS = {"lang": "lang", "source": "source", "store": "store_id", "chars": "n_chars"}
+
+
 def _filter_query(tree: dict):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return apply_filter(table(spark, sf_dir, "documents"), tree, columns=FIELDS).select("doc_id")
+
+    return query
+
+
+def _filter_map_query(tree: dict):
+    """The same filter on a metadata map."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _documents(spark, sf_dir).filter(metadata_filter(F.col("metadata"), tree)).select("doc_id")
 
@@ -67,9 +80,9 @@ def _filter_query(tree: dict):
 
 
 def filter_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An allowlist of ids (those of the long documents), as a semi-join, and a metadata filter."""
+    """An allowlist of ids (those of the long documents) and a metadata filter, in one envelope."""
     allow = table(spark, sf_dir, "documents").filter("n_chars > 1000").select("doc_id")
-    return _documents(spark, sf_dir).join(allow, "doc_id", "left_semi").filter(metadata_filter(F.col("metadata"), {"lang": "en"})).select("doc_id")
+    return apply_filter(_documents(spark, sf_dir), {"document_ids": allow, "metadata": {"lang": "en"}}, ident="doc_id").select("doc_id")
 
 
 def list_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +92,6 @@ def list_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("document_id")
 
 
-def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = metadata_filter(F.col("metadata"), {"source": {"$exists": True}, "lang": {"$ne": "en"}})
-    return _documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"), F.count_if(hit).alias("matching"))
-
-
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(X.tokenize(F.col("text"))).alias("n_tokens"), F.size(F.array_distinct(X.tokenize(F.col("text")))).alias("n_terms"))
@@ -116,12 +124,6 @@ def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", X.edge_id(F.col("src"), F.col("relation"), F.col("dst")).alias("edge_id")).distinct()
 
 
-def dedup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose content differs from the first with the same text: what an upsert by content hash would keep."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.sha256_text(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-
-
 def noop_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of all documents against a store with the even ids: the rows that would be written."""
     d = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), X.sha256_text(F.coalesce("text", F.lit(""))).alias("content_hash"), "metadata", "doc_id")
@@ -235,17 +237,17 @@ def bm25_local_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_topk(_text_queries(spark, sf_dir), _units(spark, sf_dir), K, "doc_id", F.col("lang") == "en", "filtered")
 
 
-def _ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists per query: nearest vectors, and BM25 hits of the document with the same id."""
-    width = pool_width(K)
-    ids = _vector_queries(spark, sf_dir)
-    near = exact_topk(ids, _embeddings(spark, sf_dir), width, "vec_id").select("query_id", F.lit(0).alias("list_id"), "rank", F.col("vec_id").alias("id"))
-    words = lexical.bm25_topk(_text_queries(spark, sf_dir).join(ids.select("query_id"), "query_id", "left_semi"), _units(spark, sf_dir), width, "doc_id")
-    return near.unionByName(words.select("query_id", F.lit(1).alias("list_id"), "rank", F.col("doc_id").alias("id")))
-
-
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.rrf(_ranked_lists(spark, sf_dir), "id", k=K).select("query_id", "rank", "score", "id")
+    """Every document is one chunk, with the vector of the same id where there is one; every fiftieth vector asks, with the text of its document if it has one."""
+    vectors = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "vector")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = texts.join(vectors, "doc_id", "full")
+    # a vector without document is ranked by the vectors, but is no unit of the texts' statistics
+    tokens = F.when(F.col("text").isNotNull(), X.tokenize(F.col("text")))
+    chunks = both.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), tokens.alias("tokens"), "vector")
+    queries = both.filter("doc_id % 50 = 0 and vector is not null").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), "vector")
+    found = search(chunks.select("document_id", F.create_map().cast("map<string,string>").alias("metadata")), chunks, queries, K, mode="hybrid", dim=64)
+    return found.hits.select("query_id", "rank", "score", F.col("document_id").alias("id"))
 
 
 def _event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +328,7 @@ def _bm25_sql(allowed: str = "true", local: bool = False, k: int = K, queries: s
     scope = f"WHERE {allowed}" if local else ""
     return f"""
 w AS (SELECT doc_id, lang, {_TOK} AS tokens FROM documents),
-q AS (SELECT doc_id AS query_id, unnest(list_distinct(tokens[1:5])) AS term FROM w WHERE doc_id % 50 = 0 {queries}),
+q AS (SELECT doc_id AS query_id, unnest(list_distinct(tokens)) AS term FROM w WHERE doc_id % 50 = 0 {queries}),
 u AS (SELECT * FROM w {scope}),
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM u),
 tf AS (SELECT doc_id, lang, term, any_value(len) AS len, count(*) AS tf FROM (SELECT doc_id, lang, len(tokens) AS len, unnest(tokens) AS term FROM u) GROUP BY doc_id, lang, term),
@@ -352,9 +354,9 @@ e AS (SELECT user_id AS query_id, CAST(event_id % 3 AS INTEGER) AS list_id, even
 
 ORACLES = {
     **{name: f"SELECT doc_id FROM documents d WHERE {condition}" for name, _, condition in FILTERS},
+    **{name.replace("filter_", "filter_map_"): f"SELECT doc_id FROM documents d WHERE {condition}" for name, _, condition in FILTERS},
     "filter_doc_ids": "SELECT doc_id FROM documents WHERE n_chars > 1000 AND lang = 'en'",
     "list_keyset": "SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS document_id FROM documents WHERE lang = 'en' AND doc_id > 200 ORDER BY 1 LIMIT 100",
-    "count_filtered": "SELECT count(*) AS documents, count(*) FILTER (WHERE source IS NOT NULL AND (lang IS NULL OR lang <> 'en')) AS matching FROM documents",
     "tokenize_counts": f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({_TOK})) AS INTEGER) AS n_terms FROM documents",
     "term_frequencies": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term",
     "chunk_ids": _CHUNK_SQL,
@@ -363,7 +365,6 @@ ORACLES = {
 WITH h AS (SELECT DISTINCT id, sha256(id) AS s FROM entities)
 SELECT id, CAST(CAST('0x' || s[15:16] || s[13:14] || s[11:12] || s[9:10] || s[7:8] || s[5:6] || s[3:4] || s[1:2] AS UBIGINT) AS VARCHAR) AS stable_id, s[1:12] AS fingerprint FROM h""",
     "edge_ids": "SELECT DISTINCT id, concat_ws(':', src, relation, dst) AS edge_id FROM edges",
-    "dedup_upsert": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "noop_upsert": "SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents WHERE doc_id % 2 <> 0",
     "vector_topk": _top_sql(),
     "vector_topk_filtered": _top_sql("e.label = 3"),
@@ -373,14 +374,6 @@ SELECT vec_id, round(n, 6) AS norm, round(s[1] / n, 6) AS first, round(s[64] / n
 FROM (SELECT vec_id, s, sqrt(list_dot_product(s, s)) AS n FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS s FROM embeddings))""",
     "vector_centroids": "SELECT label AS cluster_id, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[dim] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) t(dim) GROUP BY label, dim",
     "ann_assign": f"WITH {_CENTROIDS} SELECT vec_id, cluster_id FROM a",
-    "ann_probe_topk": f"""
-WITH {_VQ}, {_CENTROIDS},
-n AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id),
-o AS (SELECT query_id, cluster_id, n, row_number() OVER w AS place, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY s DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS have
-      FROM (SELECT query_id, cluster_id, n, round(list_dot_product(CAST(q.v AS DOUBLE[]), c.centroid), 9) AS s FROM q, c JOIN n USING (cluster_id)) WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, cluster_id)),
-s AS (SELECT query_id, vec_id, round({_DOT.format(a='q.v', b='a.embedding')}, 6) AS score FROM o JOIN a USING (cluster_id) JOIN q USING (query_id) WHERE place <= 2 OR have < {K}),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, score, vec_id FROM r WHERE rank <= {K}""",
     "rescore_topk": f"""
 WITH {_VQ},
 z AS (SELECT vec_id, embedding, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS m FROM embeddings),
@@ -391,7 +384,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, score, vec_id FROM r WHERE rank <= {K}""",
     "maxsim_topk": f"""
 WITH {_PATCH},
-m AS (SELECT a.document_id AS query_id, a.n, b.document_id, max(list_dot_product(a.v, b.v)) AS best FROM p a, p b WHERE a.document_id % 50 = 0 AND a.n <= 4 GROUP BY ALL),
+m AS (SELECT a.document_id AS query_id, a.n, b.document_id, max(list_dot_product(a.v, b.v)) AS best FROM p a, p b WHERE a.document_id % 50 = 0 GROUP BY ALL),
 s AS (SELECT query_id, document_id, round(sum(best), 6) AS score FROM m GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, score, document_id FROM r WHERE rank <= {K}""",
@@ -437,10 +430,11 @@ SELECT query_id, rank, score, vec_id, matched FROM r WHERE rank <= {K}""",
 
 QUERIES = {
     **{name: _filter_query(tree) for name, tree, _ in FILTERS},
+    **{name.replace("filter_", "filter_map_"): _filter_map_query(tree) for name, tree, _ in FILTERS},
     **{
         f.__name__: f
         for f in (
-            filter_doc_ids, list_keyset, count_filtered, tokenize_counts, term_frequencies, chunk_ids, content_hashes, stable_ids, edge_ids, dedup_upsert, noop_upsert,
+            filter_doc_ids, list_keyset, tokenize_counts, term_frequencies, chunk_ids, content_hashes, stable_ids, edge_ids, noop_upsert,
             vector_topk, vector_topk_filtered, vector_batch_arrays, vector_normalize, vector_centroids, ann_assign, ann_probe_topk, ann_search, rescore_topk, maxsim_topk, mean_pool,
             patch_counts, get_vectors, bm25_topk, bm25_filtered, bm25_local_stats, hybrid_topk, rrf_weighted, graph_rrf, mmr_rerank, context_block, fused_subqueries,
         )

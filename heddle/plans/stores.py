@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..functions.text import hash_embedding_column
 from ..sources import importers
 from ..sources.store import Collection, Config
 from ..sources.tables import scratch_dir, table
 from ..streaming.log import LogFolder
 from . import graphs
-from .retrieval import _documents, _embeddings
-from .search import search
+from .retrieval import _DOT, _PATCH, _documents, _embeddings, _patches
+from .semantics import _hybrid, _lexical
 
 DIM = 64
 
@@ -61,17 +60,72 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["documents"], s["chunks"])], "documents bigint, chunks bigint")
 
 
+def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a collection, all and those that match."""
+    store = _text_store(spark, sf_dir)
+    return spark.createDataFrame([(store.count(), store.count({"source": {"$exists": True}, "lang": {"$ne": "en"}}))], "documents bigint, matching bigint")
+
+
+def dedup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts added without ids: each distinct one is a document."""
+    store = Collection.create(spark, scratch_dir(spark, "store"), Config(dim=DIM))
+    store.add_unnamed(_documents(spark, sf_dir).select("text", "metadata"))
+    return store.documents.select("document_id", "content_hash")
+
+
+def store_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three small commits after a large one, one of them without effect: what was written by each, and what stands."""
+    store = _text_store(spark, sf_dir)
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), "text", "metadata")
+    store.add(docs)  # nothing new
+    store.add(docs.filter("document_id like '%7'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" again"))))
+    store.remove(docs.filter("document_id like '%3'"))
+    made = store.storage()
+    total = store.documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text").endswith(" again")).alias("changed"))
+    return total.select("documents", "changed", F.lit(store.generation).cast("int").alias("generation"), F.lit(made["written"]).cast("int").alias("written"), F.lit(made["removed"]).cast("int").alias("removed"))
+
+
+def store_search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact vector search on a stored collection."""
+    asked = _embeddings(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return _vector_store(spark, sf_dir).search(asked, 10, mode="vector", nprobe=0).select("query_id", "rank", "score", "document_id")
+
+
+def store_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search through the stored cluster index, with as many probes as recall needs."""
+    store = _vector_store(spark, sf_dir)
+    store.build_index()
+    asked = _embeddings(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return store.search(asked, 10, mode="vector").select("query_id", "rank", "score", "document_id")
+
+
+def store_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late interaction on stored patches."""
+    docs = _patches(spark, sf_dir, 8).select(F.col("document_id").cast("string").alias("document_id"), "patches", F.create_map().cast("map<string,string>").alias("metadata"))
+    store = Collection.create(spark, scratch_dir(spark, "store"), Config(dim=DIM, vector_only=True))
+    store.add_patches(docs)
+    return store.search_patches(docs.filter("cast(document_id as bigint) % 50 = 0").select(F.col("document_id").alias("query_id"), "patches"), 10)
+
+
+def log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON log of events applied to an empty collection in two commits, the second with records of the first again."""
+    store = Collection.create(spark, scratch_dir(spark, "store"), Config(dim=8, vector_only=True))
+    log = graphs._log(spark, sf_dir, 8)
+    half = log.agg(F.percentile_approx("lsn", 0.5)).first()[0]
+    store.apply_log(log.filter(F.col("lsn") <= half), "lsn")
+    store.apply_log(log, "lsn")
+    return store.documents.select("document_id", F.try_element_at("metadata", F.lit("at")).alias("at"), "text")
+
+
 def store_search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search over the chunks of a stored collection with a filter on its documents."""
-    store = _text_store(spark, sf_dir)
     asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search(store.documents, store.chunks, asked, 5, {"lang": "en"}, "lexical").hits.select("query_id", "rank", "chunk_id", "document_id")
+    return _text_store(spark, sf_dir).search(asked, 5, {"lang": "en"}, "lexical").select("query_id", "rank", "chunk_id", "document_id")
 
 
 def store_search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _text_store(spark, sf_dir)
     asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search(store.documents, store.chunks, asked, 5, mode="hybrid", embed=lambda t: hash_embedding_column(t, DIM), dim=DIM).hits.select("query_id", "rank", "chunk_id", "document_id")
+    return _text_store(spark, sf_dir).search(asked, 5, mode="hybrid").select("query_id", "rank", "chunk_id", "document_id")
 
 
 def import_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +145,14 @@ def import_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON log of events, arriving as files and folded batch by batch."""
+    """The JSON log of events in files whose records are mixed up, folded file by file; a part of them arrives again, deletes included."""
     path = scratch_dir(spark, "log")
-    graphs._log(spark, sf_dir).repartitionByRange(4, "lsn").write.json(f"{path}/log")
-    state = LogFolder(spark, f"{path}/log", f"{path}/out").run()
+    log = graphs._log(spark, sf_dir)
+    log.repartition(3, F.xxhash64("lsn")).write.json(f"{path}/log")
+    folder = LogFolder(spark, f"{path}/log", f"{path}/out")
+    folder.run(1)
+    log.filter("lsn % 3 = 0").coalesce(1).write.mode("append").json(f"{path}/log")
+    state = folder.run(1)
     return state.select("document_id", F.try_element_at("metadata", F.lit("at")).alias("at"), "text")
 
 
@@ -116,6 +174,13 @@ def event_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAST_SET = graphs._FOLD
 
+_CHUNKS = r"""
+tt AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '^[{ws}]+', ''), '[{ws}]+$', '') AS t FROM documents),
+cc AS (SELECT document_id, lang, i AS position, substring(t, CAST(i * 900 + 1 AS BIGINT), 900) AS part FROM (SELECT *, unnest(range(0, CAST((length(t) + 899) // 900 AS BIGINT))) AS i FROM tt)),
+hh AS (SELECT *, sha256(regexp_replace(regexp_replace(regexp_replace(part, '^[{ws}]+', ''), '[{ws}]+$', ''), '[{ws}]+', ' ', 'g')) AS h FROM cc),
+ch AS (SELECT document_id, lang, part, document_id || ':' || h[1:12] || ':' || lpad(CAST(row_number() OVER (PARTITION BY document_id, h ORDER BY position) - 1 AS VARCHAR), 4, '0') AS id FROM hh),
+q AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0 AND length(text) > 0)"""
+
 ORACLES = {
     "store_text_documents": """
 SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST((length(t) + 899) // 900 AS INTEGER) AS chunk_count, sha256(coalesce(text, '')) AS content_hash
@@ -137,6 +202,25 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE trim(node_id) = '' OR node_id IS
   count(*) FILTER (WHERE bad) AS unsound_vectors FROM f""",
     "import_points": "SELECT CAST(vec_id AS VARCHAR) AS id, 'text ' || vec_id AS text, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings",
     "log_fold_stream": _LAST_SET,
+    "log_apply": _LAST_SET,
+    "count_filtered": "SELECT count(*) AS documents, count(*) FILTER (WHERE source IS NOT NULL AND (lang IS NULL OR lang <> 'en')) AS matching FROM documents",
+    "dedup_upsert": "SELECT DISTINCT 'doc-' || sha256(coalesce(text, ''))[1:32] AS document_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
+    "store_deltas": """
+SELECT count(*) FILTER (WHERE doc_id % 10 <> 3) AS documents, count(*) FILTER (WHERE doc_id % 10 = 7 OR (doc_id % 10 <> 3 AND text LIKE '% again')) AS changed, CAST(3 AS INTEGER) AS generation,
+  CAST(count(*) FILTER (WHERE doc_id % 10 = 7) AS INTEGER) AS written, CAST(count(*) FILTER (WHERE doc_id % 10 = 3) AS INTEGER) AS removed FROM documents""",
+    "store_search_lexical": "WITH " + _CHUNKS + ", u AS (SELECT id, part AS text, coalesce(lang = 'en', false) AS ok FROM ch)," + _lexical(5) + " SELECT query_id, rank, lex.id AS chunk_id, document_id FROM lex JOIN ch USING (id)",
+    "store_search_hybrid": "WITH " + _CHUNKS + ", u AS (SELECT id, part AS text, true AS ok FROM ch)," + _hybrid(5) + " SELECT query_id, rank, hyb.id AS chunk_id, document_id FROM hyb JOIN ch USING (id)",
+    "store_search_vector": f"""
+WITH n AS (SELECT vec_id, embedding, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(x / sqrt({_DOT.format(a='embedding', b='embedding')}) AS FLOAT) AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), n.v), 6) AS score FROM n q, n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, score, CAST(vec_id AS VARCHAR) AS document_id FROM r WHERE rank <= 10""",
+    "store_maxsim": f"""
+WITH {_PATCH},
+m AS (SELECT a.document_id AS query_id, a.n, b.document_id, max(list_dot_product(a.v, b.v)) AS best FROM p a, p b WHERE a.document_id % 50 = 0 GROUP BY ALL),
+s AS (SELECT query_id, document_id, round(sum(best), 6) AS score FROM m GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(document_id AS VARCHAR)) AS INTEGER) AS rank FROM s)
+SELECT CAST(query_id AS VARCHAR) AS query_id, rank, score, CAST(document_id AS VARCHAR) AS document_id FROM r WHERE rank <= 10""",
     "event_counts_stream": "SELECT CAST(hour(ts) * 3600 AS BIGINT) AS second_of_day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 _WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -146,6 +230,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_text_documents, store_text_chunks, store_list_filtered, store_vectors, store_stats, store_search_lexical, store_search_hybrid, import_validate, import_points,
-        log_fold_stream, event_counts_stream,
+        count_filtered, dedup_upsert, store_deltas, store_search_vector, store_search_index, store_maxsim, log_apply, log_fold_stream, event_counts_stream,
     )
 }

@@ -57,10 +57,10 @@ def check_ascending(batch: DataFrame, order: str) -> None:
     The rows are sorted across tasks; each task looks at its own slice, and the
     driver compares one row per slice.
     """
-    slices = cut_lineage(batch.select(order, "lsn").repartitionByRange(order).withColumn("__slice", F.spark_partition_id()), "ascending")
-    before = F.lag("lsn").over(Window.partitionBy("__slice").orderBy(order, "lsn"))
+    slices = cut_lineage(batch.select(F.col(order).alias("__order"), "lsn").repartitionByRange("__order").withColumn("__slice", F.spark_partition_id()), "ascending")
+    before = F.lag("lsn").over(Window.partitionBy("__slice").orderBy("__order", "lsn"))
     ok = slices.withColumn("__b", before).filter((F.col("__b") >= F.col("lsn")) | F.col("lsn").isNull()).isEmpty()
-    edges = slices.groupBy("__slice").agg(F.min(order).alias("o"), F.min("lsn").alias("lo"), F.max("lsn").alias("hi")).orderBy("o").collect()
+    edges = slices.groupBy("__slice").agg(F.min("__order").alias("o"), F.min("lsn").alias("lo"), F.max("lsn").alias("hi")).orderBy("o").collect()
     if not ok or any(a["hi"] >= b["lo"] for a, b in zip(edges, edges[1:])):
         raise LogError("sequence numbers must ascend")
 

@@ -65,3 +65,26 @@ def test_single_file_and_empty_feed(spark, tmp_path):
     assert rows(apply_journal(spark, f"{tmp_path}/journal.parquet")) == brute(feed_of(3))
     write(spark, f"{tmp_path}/none", [])
     assert apply_journal(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_only_replaced_generations_start_it_afresh(spark, tmp_path):
+    """New generations, late ones among them, resume both streams; a redelivery with other content starts the second anew."""
+    up = lambda *ids: [(i, f"h-{i}", None, None) for i in ids]
+    parts = [
+        [("s", 1, up("a", "b"), None, 10), ("s", 5, up("c"), ["a"], 11)],
+        [("s", 3, up("a", "d"), None, 12), ("s", 1, up("a", "b"), None, 10)],  # late, and the same again
+        [("s", 5, up("e"), None, 20)],  # takes back c and the delete of a
+    ]
+    feed = []
+    for part, rounds in zip(parts, (1, 1, 2)):
+        feed += part
+        write(spark, f"{tmp_path}/j", part, "append")
+        assert rows(apply_journal(spark, f"{tmp_path}/j", f"{tmp_path}/work")) == brute(feed)
+        assert len(list((tmp_path / "work" / "applied").glob("round=*"))) == rounds
+
+
+def test_streams_leave_the_session_alone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    write(spark, f"{tmp_path}/j", feed_of(4))
+    apply_journal(spark, f"{tmp_path}/j")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before

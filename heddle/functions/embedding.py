@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from .text import hash_embedding_column
 
@@ -107,7 +106,7 @@ class BatchEmbedder(Embedder):
                     out[np.flatnonzero(there)] = list(rows)
                 yield pd.Series(out)
 
-        return F.pandas_udf(embed, "array<float>", PandasUDFType.SCALAR_ITER)(text)
+        return F.pandas_udf(embed, "array<float>")(text)
 
 
 def pool(tokens: np.ndarray, mask: np.ndarray | None = None, how: str = "mean") -> np.ndarray:

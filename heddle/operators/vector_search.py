@@ -2,8 +2,9 @@
 
 Both sides are packed into rows that hold the vectors of a few thousand items as
 one binary matrix. Every block of queries meets every block of the corpus; numpy
-multiplies the two matrices and keeps the best k per query and block, so that
-only ``queries x blocks x k`` rows reach the shuffle. Spark broadcasts the packed
+multiplies the two matrices, first in single precision, then the few products
+that matter in double, and keeps the best k per query and block, so that only
+``queries x blocks x k`` rows reach the shuffle. Spark broadcasts the packed
 queries only while they are below its threshold; beyond it block pairs are
 dealt to tasks.
 """
@@ -34,7 +35,7 @@ def top_k(scored: DataFrame, k: int, ident: str, score: str = "score", by: str =
 
 
 def _pack(block: int, unit: bool):
-    """Rows (id, vector, parts, group) to packed rows: dim, group, ids, parts, data.
+    """Rows (id, vector, parts, group) to packed rows: dim, group, ids, parts, data (of the vectors' own precision, unit vectors in doubles).
 
     The vector column holds one vector, or the vectors of the item one after
     another with their number in ``parts``; items of different dim or group go to different rows.
@@ -45,6 +46,7 @@ def _pack(block: int, unit: bool):
         if unit:
             norm = np.linalg.norm(rows, axis=1, keepdims=True)
             rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+        width = "<f4" if rows.dtype == np.float32 else "<f8"
         ids = pa.concat_arrays([h[0] for h in held])
         offsets = pa.array([0, len(ids)], pa.int32())
         return pa.RecordBatch.from_arrays(
@@ -53,7 +55,7 @@ def _pack(block: int, unit: bool):
                 pa.array([group], pa.int32()),
                 pa.ListArray.from_arrays(offsets, ids),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([h[1] for h in held]), pa.int32())),
-                pa.array([rows.astype("<f8").tobytes()], pa.binary()),
+                pa.array([rows.astype(width, copy=False).tobytes()], pa.binary()),
             ],
             names=["dim", "group", "ids", "parts", "data"],
         )
@@ -67,7 +69,9 @@ def _pack(block: int, unit: bool):
             sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
             parts = np.asarray(batch.column(2).fill_null(0), np.int64)
             groups = np.asarray(batch.column(3).fill_null(-1), np.int64)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            if unit or flat.dtype != np.float32:
+                flat = flat.astype(np.float64)
             begin = np.cumsum(sizes) - sizes
             sound = (sizes > 0) & (parts > 0) & (sizes % np.maximum(parts, 1) == 0)
             dims = np.where(sound, sizes // np.maximum(parts, 1), 0)
@@ -95,16 +99,47 @@ def packed(rows: DataFrame, ident: str, vector: str, block: int, unit: bool = Fa
     schema = T.StructType(
         [T.StructField("dim", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema[ident].dataType)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]
     )
-    kept = rows.filter(F.col(vector).isNotNull()).select(ident, flat.cast("array<double>").alias("v"), parts.alias("parts"), (F.col(group).cast("int") if group else F.lit(0)).alias("group"))
+    kind = rows.schema[vector].dataType
+    kind = kind.elementType if nested else kind
+    exact = "array<float>" if isinstance(kind.elementType, T.FloatType) else "array<double>"
+    kept = rows.filter(F.col(vector).isNotNull()).select(ident, flat.cast(exact).alias("v"), parts.alias("parts"), (F.col(group).cast("int") if group else F.lit(0)).alias("group"))
     return kept.mapInArrow(_pack(block, unit), schema)
 
 
-def _dot_scores(q: np.ndarray, c: np.ndarray, q_parts: np.ndarray, c_parts: np.ndarray) -> np.ndarray:
-    return q @ c.T
+def _matrix(data, dim: int, vectors: int) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data.size == 4 * dim * vectors else "<f8").reshape(-1, dim)
+
+
+def _dot_hits(q: np.ndarray, c: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best k rows per query and all that might tie with them, scores in doubles.
+
+    A product in single precision comes first. Its error is at most (dim + 2)
+    rounding steps of the product of the two lengths, so whatever could belong to
+    the best k lies within twice that of the k-th, and only this is computed anew.
+    """
+    with np.errstate(all="ignore"):
+        low_q, low_c = q.astype(np.float32, copy=False), c.astype(np.float32, copy=False)
+        coarse = low_q @ low_c.T
+    n = coarse.shape[1]
+    if not np.isfinite(coarse).all():
+        scores = np.round(q.astype(np.float64) @ c.astype(np.float64).T, digits)
+        cut = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+        at_q, at_c = np.nonzero(scores >= cut)
+        return at_q, at_c, scores[at_q, at_c]
+    if n > k:
+        slack = 2 * (q.shape[1] + 2) * np.finfo(np.float32).eps * np.linalg.norm(q.astype(np.float64), axis=1) * float(np.linalg.norm(c, axis=1).max()) + 10.0**-digits
+        at_q, at_c = np.nonzero(coarse >= np.partition(coarse, n - k, axis=1)[:, n - k, None] - slack[:, None].astype(np.float32))
+    else:
+        at_q, at_c = np.nonzero(np.ones_like(coarse, bool))
+    exact = np.empty(len(at_q))
+    for i in range(0, len(at_q), 65_536):
+        part = slice(i, i + 65_536)
+        exact[part] = np.einsum("ij,ij->i", q[at_q[part]].astype(np.float64), c[at_c[part]].astype(np.float64))
+    return at_q, at_c, np.round(exact, digits)
 
 
 def scored_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, ident: str, score: Callable = _dot_scores, digits: int = 6, grouped: bool = False
+    queries: DataFrame, corpus: DataFrame, k: int, ident: str, score: Callable | None = None, digits: int = 6, grouped: bool = False
 ) -> DataFrame:
     """query_id, id, score: the best ``k`` (and ties) of every pair of packed blocks of one group and dim.
 
@@ -123,18 +158,22 @@ def scored_blocks(
                 dim = row["q_dim"].as_py()
                 if dim != row["c_dim"].as_py():
                     continue
-                q, c = (np.frombuffer(row[f"{s}_data"].as_buffer(), "<f8").reshape(-1, dim) for s in "qc")
                 parts = [row[f"{s}_parts"].values.to_numpy() for s in "qc"]
-                scores = np.round(score(q, c, *parts), digits)
-                n = scores.shape[1]
-                # whatever ties with the k-th best stays, ids decide later
-                cut = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
-                at_q, at_c = np.nonzero(scores >= cut)
+                q, c = (_matrix(row[f"{s}_data"].as_buffer(), dim, int(n.sum())) for s, n in zip("qc", parts))
+                if score is None:
+                    at_q, at_c, found = _dot_hits(q, c, k, digits)
+                else:
+                    scores = np.round(score(q.astype(np.float64), c.astype(np.float64), *parts), digits)
+                    n = scores.shape[1]
+                    # whatever ties with the k-th best stays, ids decide later
+                    cut = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+                    at_q, at_c = np.nonzero(scores >= cut)
+                    found = scores[at_q, at_c]
                 yield pa.RecordBatch.from_arrays(
                     [
                         row["q_ids"].values.take(pa.array(at_q)).cast(q_arrow),
                         row["c_ids"].values.take(pa.array(at_c)).cast(id_arrow),
-                        pa.array(scores[at_q, at_c]),
+                        pa.array(found),
                     ],
                     names=["query_id", ident, "score"],
                 )

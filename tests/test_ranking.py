@@ -181,3 +181,24 @@ def test_search_modes(spark):
     assert (resolve_mode(None, True), resolve_mode(None, False)) == ("hybrid", "vector")
     with pytest.raises(ValueError):
         resolve_mode("lexical", False)
+
+
+def test_exact_search_does_not_lose_close_scores(spark):
+    """Scores that differ only beyond single precision, large values, ties and huge numbers."""
+    import numpy as np
+
+    from heddle.operators.vector_search import _dot_hits
+
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e6, 1e30, 1e200):
+        base = rng.normal(size=48)
+        c = np.concatenate([base + 1e-9 * rng.normal(size=(300, 48)), rng.normal(size=(300, 48)), np.tile(base, (20, 1))]) * scale
+        q = np.concatenate([base[None], rng.normal(size=(4, 48))])
+        at_q, at_c, got = _dot_hits(q, c, 7, 6)
+        true = np.round(q @ c.T, 6)
+        for i in range(len(q)):
+            kth = np.sort(true[i])[-7]
+            found = dict(zip(at_c[at_q == i].tolist(), got[at_q == i]))
+            need = np.flatnonzero(true[i] > kth * (1 + np.sign(kth) * 1e-12))
+            assert set(need) <= set(found) and len(found) >= 7
+            assert all(np.isclose(found[j], true[i, j], rtol=1e-12, atol=2e-6) for j in found)

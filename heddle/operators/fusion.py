@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -53,21 +53,31 @@ def maximal_marginal_relevance(candidates: DataFrame, ident: str, lam: float = 0
     return scored.withColumn("rank", F.row_number().over(order)).drop("position")
 
 
-def distance_rerank(candidates: DataFrame, distances: DataFrame, ident: str) -> DataFrame:
-    """Nearest first by ``hops``; ids without a distance last; ties keep their position (anything that sorts).
+def numbered(rows: DataFrame, by: str, order: list, total: Column | None = None, name: str = "rank", so_far: str = "so_far") -> DataFrame:
+    """Adds ``rank`` from 1 within ``by`` in the given order and, of ``total``, the sum up to and including each row.
 
-    A query may have any number of candidates: they are sorted across tasks, and
-    every slice of a query is numbered on from the slices before it.
+    A group may have any number of rows: they are sorted across tasks, and every
+    slice of a group goes on from the slices before it, of which one row each is known.
     """
-    order = ["query_id", F.asc_nulls_last("hops"), F.asc_nulls_last("position")]
-    sorted_rows = candidates.join(distances, ident, "left").repartitionByRange(*order).withColumn("__slice", F.spark_partition_id())
-    rows = cut_lineage(sorted_rows, "ranks")
-    sizes = rows.groupBy("query_id", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy("query_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("query_id", "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("query_id", "__slice").orderBy(*order[1:])
-    numbered = rows.withColumn("__own", F.row_number().over(own)).join(offsets, ["query_id", "__slice"])
-    return numbered.withColumn("rank", (F.col("__before") + F.col("__own")).cast("int")).drop("__slice", "__own", "__before")
+    value = F.lit(0) if total is None else total
+    rows = cut_lineage(rows.withColumn("__value", value).repartitionByRange(by, *order).withColumn("__slice", F.spark_partition_id()), "ranks")
+    sizes = rows.groupBy(by, "__slice").agg(F.count(F.lit(1)).alias("__n"), F.sum("__value").alias("__s"))
+    earlier = Window.partitionBy(by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(by, "__slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__n", "__s")])
+    own = Window.partitionBy(by, "__slice").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    # null groups are groups too
+    left = rows.withColumns({"__own": F.row_number().over(own), "__sum": F.sum("__value").over(upto)}).withColumnRenamed("__slice", "__l")
+    joined = left.join(offsets.withColumnRenamed(by, "__by"), (left["__l"] == offsets["__slice"]) & left[by].eqNullSafe(F.col("__by")))
+    out = joined.withColumn(name, (F.col("__n_before") + F.col("__own")).cast("int"))
+    if total is not None:
+        out = out.withColumn(so_far, F.col("__s_before") + F.col("__sum"))
+    return out.drop("__value", "__slice", "__l", "__own", "__sum", "__by", "__n_before", "__s_before")
+
+
+def distance_rerank(candidates: DataFrame, distances: DataFrame, ident: str) -> DataFrame:
+    """Nearest first by ``hops``; ids without a distance last; ties keep their position (anything that sorts)."""
+    return numbered(candidates.join(distances, ident, "left"), "query_id", [F.asc_nulls_last("hops"), F.asc_nulls_last("position")])
 
 
 def mentions_rerank(candidates: DataFrame, mentions: DataFrame, ident: str) -> DataFrame:
@@ -77,10 +87,12 @@ def mentions_rerank(candidates: DataFrame, mentions: DataFrame, ident: str) -> D
     return joined.withColumn("rank", F.row_number().over(order))
 
 
-def context_block(pieces: DataFrame, max_chars: int, by: str = "query_id", order: str = "rank", text: str = "text") -> DataFrame:
-    """The leading pieces per query whose total length stays within ``max_chars``."""
-    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return pieces.withColumn("chars_so_far", F.sum(F.length(text)).over(upto)).filter(F.col("chars_so_far") <= max_chars)
+def context_block(pieces: DataFrame, max_chars: int, by: str = "query_id", order: str | list = "rank", text: str = "text") -> DataFrame:
+    """The leading pieces per query whose total length stays within ``max_chars``, with ``rank`` and ``chars_so_far``; null texts have no length."""
+    order = [F.col(order)] if isinstance(order, str) else order
+    placed = numbered(pieces, by, order, F.coalesce(F.length(text), F.lit(0)).cast("bigint"), "__rank", "chars_so_far")
+    placed = placed.drop("rank").withColumnRenamed("__rank", "rank")
+    return placed.filter(F.col("chars_so_far") <= max_chars)
 
 
 def fuse_subqueries(hits: DataFrame, ident: str, k: int, c: int = RRF_C) -> DataFrame:

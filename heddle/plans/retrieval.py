@@ -281,13 +281,9 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest episodes per source that fit into 2000 characters."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "episodes").groupBy("id").agg(F.min(F.struct("created_at", "source", "body", "occurred_at")).alias("e")).select("id", "e.*")
-    e = e.filter(F.col("body").isNotNull())
-    order = Window.partitionBy("source").orderBy(F.desc("occurred_at"), "id")
-    ranked = e.withColumn("rank", F.row_number().over(order))
-    return fusion.context_block(ranked, 2000, "source", "rank", "body").select("source", "rank", "id", "chars_so_far")
+    found = fusion.context_block(e.filter(F.col("body").isNotNull()), 2000, "source", [F.desc_nulls_last("occurred_at"), F.asc("id")], "body")
+    return found.select("source", "rank", "id", "chars_so_far")
 
 
 def fused_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:

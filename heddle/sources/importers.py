@@ -17,17 +17,30 @@ def _uniform(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
 
 
-def from_jdbc(spark: SparkSession, url: str, table: str, ident: str, text: str, vector: str, metadata: str | None = None, partitions: int = 8, bounds: tuple[int, int] | None = None, **options) -> DataFrame:
-    """A table with a vector column (as text ``[1,2]``), read in ranges of a numeric key if ``bounds`` are given."""
+def from_jdbc(
+    spark: SparkSession, url: str, table: str, ident: str, text: str, vector: str, metadata: str | None = None, partitions: int = 8, bounds: tuple[int, int] | None = None,
+    columns: list[str] | None = None, after: str | int | None = None, **options,
+) -> DataFrame:
+    """A table with a vector column (as text ``[1,2]``), read in ranges of a numeric key if ``bounds`` are given.
+
+    ``columns`` become metadata beside the JSON of ``metadata``; with ``after``
+    only rows with a greater key are read, so an import can go on where an
+    earlier one ended. Only the named columns and rows leave the database.
+    """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if bounds:
         reader = reader.option("partitionColumn", ident).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-    return from_vector_table(reader.load(), ident, text, vector, metadata)
+    return from_vector_table(reader.load(), ident, text, vector, metadata, columns, after)
 
 
-def from_vector_table(rows: DataFrame, ident: str, text: str, vector: str, metadata: str | None = None) -> DataFrame:
+def from_vector_table(rows: DataFrame, ident: str, text: str, vector: str, metadata: str | None = None, columns: list[str] | None = None, after: str | int | None = None) -> DataFrame:
+    if after is not None:
+        rows = rows.filter(F.col(ident) > F.lit(after))
     values = F.from_json(F.col(vector).cast("string"), "array<float>")
-    meta = F.from_json(F.col(metadata).cast("string"), _META) if metadata else F.lit(None)
+    meta = F.from_json(F.col(metadata).cast("string"), _META) if metadata else F.lit(None).cast(_META)
+    if columns:
+        pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]), lambda p: p["v"].isNotNull())
+        meta = F.map_concat(F.map_filter(F.coalesce(meta, F.create_map().cast(_META)), lambda k, v: ~k.isin(columns)), F.map_from_entries(pairs))
     return _uniform(rows, id=F.col(ident), text=F.col(text), vector=values, metadata=meta)
 
 

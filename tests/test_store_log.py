@@ -117,6 +117,9 @@ def test_importers(spark, tmp_path, store):
     assert rows(importers.from_docstore(spark, f"{tmp_path}/store.json"), "id", "text", "metadata", "ref_doc_id") == [("n1", "node", {"x": "1"}, "d1")]
     table = spark.createDataFrame([(1, "t", "[1,2]", '{"a":"b"}')], "pk int, body string, emb string, meta string")
     assert rows(importers.from_vector_table(table, "pk", "body", "emb", "meta"), "id", "vector", "metadata") == [("1", [1.0, 2.0], {"a": "b"})]
+    more = spark.createDataFrame([(i, "t", "[1,2]", '{"a":"b","lang":"x"}', "de" if i else None) for i in range(3)], "pk int, body string, emb string, meta string, lang string")
+    assert rows(importers.from_vector_table(more, "pk", "body", "emb", "meta", ["lang"], after=0), "id", "metadata") == [("1", {"a": "b", "lang": "de"}), ("2", {"a": "b", "lang": "de"})]
+    assert rows(importers.from_vector_table(more, "pk", "body", "emb", None, ["lang"]), "id", "metadata")[0] == ("0", {})
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "x.txt").write_text("line\nline")
     assert rows(importers.from_files(spark, f"{tmp_path}/files"), "text") == [("line\nline",)]

@@ -6,7 +6,8 @@ bounded samples, in two levels where there are many cells); a cell above
 ``shard_size`` is split by hash. One graph is built per shard. Every class
 searches its own shard while the graph is built, then the shards of its next
 nearest cells, which only hand back what can still be among its nearest; a
-shard's answers are merged by cosine in double precision.
+shard's answers are merged by cosine in double precision. How many cells are
+searched is measured on some classes that are compared with all others.
 
 What travels between tasks is packed: vectors as 8-bit codes where that is
 exact (quantised collections), else as 32-bit floats, ids of graph points as
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage
 from . import hnsw
 
-#: Points per graph, searches per task, bound of a centroid sample, cells searched by each vector.
-SHARD_SIZE, BLOCK_SIZE, SAMPLE, PROBES = 16_000, 40_000, 20_000, 4
+#: Points per graph, searches per task, bound of a centroid sample.
+SHARD_SIZE, BLOCK_SIZE, SAMPLE = 16_000, 40_000, 20_000
+#: Share of the nearest that must lie in the cells searched, classes per collection on which it is measured, and most cells tried.
+RECALL, TRIALS, MAX_PROBES = 0.98, 400, 256
 #: Cells of one level; beyond it centroids form two levels of about the square root each.
 FLAT_CELLS = 256
 #: Centroids are broadcast; this many of 64 floats are 64 MB. With more than MAX_CELLS x SHARD_SIZE / 2 vectors, about two
@@ -191,7 +194,7 @@ class Cells:
     top: np.ndarray | None
     begin: np.ndarray
     subs: np.ndarray
-    blocks: np.ndarray
+    asked: np.ndarray  # searches that come to each cell per cell searched beside the own one, as estimated
 
     @property
     def count(self) -> int:
@@ -228,7 +231,7 @@ def _sample(rows: DataFrame, collections: dict[str, int], wanted: dict[str, int]
     return rows.filter(F.col("collection").isin(list(share)) & chosen).groupBy("collection", "cls").agg(F.min("vec").alias("vec"))
 
 
-def _fit_cells(rows: DataFrame, shard_size: int, block_size: int, probes: int, flat_cells: int) -> dict[str, Cells]:
+def _fit_cells(rows: DataFrame, shard_size: int, flat_cells: int) -> dict[str, Cells]:
     """Cells of every collection; a collection that fits one graph needs no sample.
 
     At most ``SAMPLE`` rows of a collection come to the driver. Where there are
@@ -237,7 +240,7 @@ def _fit_cells(rows: DataFrame, shard_size: int, block_size: int, probes: int, f
     """
     sizes = {r[0]: r[1] for r in rows.groupBy("collection").agg(F.approx_count_distinct("cls", 0.02)).collect()}
     wanted = {c: min(MAX_CELLS, max(1, math.ceil(n / (shard_size / 2)))) for c, n in sizes.items()}
-    one = lambda n: Cells(None, None, np.array([0, 1]), np.array([max(1, math.ceil(n / shard_size))]), np.array([1]))
+    one = lambda n: Cells(None, None, np.array([0, 1]), np.array([max(1, math.ceil(n / shard_size))]), np.array([n]))
     made = {c: one(n) for c, n in sizes.items() if wanted[c] == 1}
     large = {c: n for c, n in sizes.items() if wanted[c] > 1}
     if not large:
@@ -263,14 +266,14 @@ def _fit_cells(rows: DataFrame, shard_size: int, block_size: int, probes: int, f
             begin = np.cumsum([0] + [len(x) for x in parts])
             model = Cells(np.concatenate(parts), tops[c], begin, counts, counts)
             held = counts / counts.sum() * n
-            asked = 2 * (probes - 1) * held
+            asked = 2 * held
         else:
             model = Cells(tops[c], None, np.array([0]), np.zeros(len(tops[c])), np.zeros(len(tops[c])))
-            near = model.near(units[c], probes)
+            near = model.near(units[c], min(8, len(tops[c])))
             times = n / len(near)
-            held, asked = (np.bincount(x[x >= 0], minlength=len(tops[c])) * times for x in (near[:, 0], near[:, 1:].ravel()))
-        model.subs = np.maximum(1, np.ceil(held / shard_size)).astype(int)
-        model.blocks = np.maximum(1, np.ceil(asked / block_size)).astype(int)
+            held, later = (np.bincount(x[x >= 0], minlength=len(tops[c])) * times for x in (near[:, 0], near[:, 1:].ravel()))
+            asked = np.maximum(later / max(1, near.shape[1] - 1), held)
+        model.subs, model.asked = np.maximum(1, np.ceil(held / shard_size)).astype(int), asked
         made[c] = model
     return made
 
@@ -313,7 +316,7 @@ def _dealt(cells: dict[str, Cells]):
 
 PLACE = ["collection", "cell", "sub"]
 GRAPH = (
-    "collection string, cell int, sub int, blocks int, classes binary, items array<string>, counts binary, vecs binary, layers array<binary>, widths array<int>, own_at binary, own_cos binary"
+    "collection string, cell int, sub int, classes binary, items array<string>, counts binary, vecs binary, layers array<binary>, widths array<int>, own_at binary, own_cos binary"
 )
 ASKED = "collection string, cell int, sub int, block int, from_cell int, from_sub int, at binary, vecs binary, least binary"
 HITS = "collection string, cell int, sub int, at binary, which binary, cos binary, items array<string>, counts binary"
@@ -331,7 +334,7 @@ def _found(points: np.ndarray, layers: list[np.ndarray], asked: np.ndarray, k: i
     return ids, cos
 
 
-def _build(cells: dict[str, Cells], k: int, exact: bool):
+def _build(k: int, exact: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cls", kind="stable")  # the keys are hashes: as good as random, and the same on every run
         vecs = _matrix(part["vec"].tolist())
@@ -345,7 +348,7 @@ def _build(cells: dict[str, Cells], k: int, exact: bool):
         first = part.iloc[0]
         return pd.DataFrame(
             {
-                "collection": [first["collection"]], "cell": [first["cell"]], "sub": [first["sub"]], "blocks": [int(cells[first["collection"]].blocks[first["cell"]])],
+                "collection": [first["collection"]], "cell": [first["cell"]], "sub": [first["sub"]],
                 "classes": [b"".join(part["cls"])], "items": [[i for items in part["items"] for i in items]], "counts": [np.array([len(i) for i in part["items"]], np.int32).tobytes()],
                 "vecs": [_blob(vecs)], "layers": [[x.tobytes() for x in layers]], "widths": [[x.shape[1] for x in layers]],
                 "own_at": [np.where(cos > -2, ids, -1).astype(np.int32).tobytes()], "own_cos": [cos.tobytes()],
@@ -355,7 +358,73 @@ def _build(cells: dict[str, Cells], k: int, exact: bool):
     return run
 
 
-def _ask(cells: dict[str, Cells], k: int, probes: int, min_cos: float):
+def _blocks(cells: dict[str, Cells], probes: dict[str, int], block_size: int) -> dict[str, np.ndarray]:
+    """Tasks among which the searches in each cell are dealt."""
+    return {c: np.maximum(1, np.ceil((probes[c] - 1) * m.asked / block_size)).astype(int) for c, m in cells.items()}
+
+
+def _trial_hits(asked: dict[str, tuple[list, np.ndarray]], k: int, min_cos: float):
+    """For each asked class its nearest points in each graph, with the cell: the exact search of a few against all."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for g in part.itertuples():
+                if g.collection not in asked:
+                    continue
+                names, queries = asked[g.collection]
+                n = len(g.counts) // 4
+                sims = queries @ _direction(_rows(g.vecs, n)).astype(np.float32).T
+                own = {g.classes[i * 16 : i * 16 + 16]: i for i in range(n)}
+                for q, name in enumerate(names):
+                    if name in own:
+                        sims[q, own[name]] = -2.0
+                best = hnsw._top(sims, min(k, n))
+                cos = np.take_along_axis(sims, best, 1)
+                q, place = np.nonzero(cos >= max(min_cos, -1.5))
+                yield pd.DataFrame({"collection": g.collection, "q": q.astype(np.int32), "cos": cos[q, place].astype(float), "cell": np.int32(g.cell)})
+
+    return run
+
+
+def measured_probes(rows: DataFrame, graphs: DataFrame, cells: dict[str, Cells], k: int, min_cos: float = -2.0, recall: float = RECALL, trials: int = TRIALS) -> dict[str, int]:
+    """The fewest cells per collection in which ``recall`` of the nearest (with at least ``min_cos``) are found, less two standard errors.
+
+    About ``trials`` classes of each collection, chosen by hash, are compared
+    with all others. A collection in which they have no such neighbours gets as
+    many cells as needed for their nearest of any cosine.
+    """
+    many = {c: m for c, m in cells.items() if m.count > 1}
+    probes = {c: 1 for c in cells}
+    if not many:
+        return probes
+    sizes = {c: max(1, round(m.asked.sum())) for c, m in many.items()}
+    taken = _sample(rows, sizes, dict.fromkeys(many, trials)).toPandas()
+    asked = {c: ([bytes(x) for x in p["cls"]], _direction(_matrix(p["vec"].tolist())).astype(np.float32)) for c, p in taken.groupby("collection")}
+    best = Window.partitionBy("collection", "q").orderBy(F.desc("cos"), "cell")
+
+    def found(least: float) -> pd.DataFrame:
+        near = graphs.select("collection", "cell", "counts", "classes", "vecs").mapInPandas(_trial_hits(asked, k, least), "collection string, q int, cos double, cell int")
+        return near.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select("collection", "q", "cell").toPandas()
+
+    hits = found(min_cos)
+    few = [c for c in asked if (hits["collection"] == c).sum() < 50]
+    if few and min_cos > -1:
+        other = found(-2.0)
+        hits = pd.concat([hits[~hits["collection"].isin(few)], other[other["collection"].isin(few)]])
+    for c, own in hits.groupby("collection"):
+        near = many[c].near(asked[c][1], min(MAX_PROBES, many[c].count))
+        place = np.array([np.flatnonzero(near[q] == cell)[0] if (near[q] == cell).any() else near.shape[1] for q, cell in zip(own["q"], own["cell"])])
+        query = own["q"].to_numpy()
+        probes[c] = near.shape[1]
+        for p in range(1, near.shape[1]):
+            each = np.array([np.mean(place[query == q] < p) for q in np.unique(query)])
+            if each.mean() - 2 * each.std(ddof=1) / math.sqrt(len(each)) >= recall if len(each) > 1 else each.all():
+                probes[c] = p
+                break
+    return probes
+
+
+def _ask(cells: dict[str, Cells], k: int, probes: dict[str, int], blocks: dict[str, np.ndarray], min_cos: float):
     """The searches that the points of a graph start in other shards, packed by shard.
 
     With each goes the least cosine that can still matter: that of its k-th best hit so far.
@@ -368,7 +437,7 @@ def _ask(cells: dict[str, Cells], k: int, probes: int, min_cos: float):
                 model = cells[g.collection]
                 n = len(g.counts) // 4
                 vecs = _rows(g.vecs, n)
-                near = model.near(_direction(vecs).astype(np.float32), probes)
+                near = model.near(_direction(vecs).astype(np.float32), probes[g.collection])
                 best = np.frombuffer(g.own_cos).reshape(n, -1)
                 least = np.maximum(best[:, k - 1] if best.shape[1] >= k else np.full(n, -2.0), min_cos)
                 out = []
@@ -379,7 +448,7 @@ def _ask(cells: dict[str, Cells], k: int, probes: int, min_cos: float):
                             continue
                         for i in range(0, len(at), PACKED_QUERIES):
                             some = at[i : i + PACKED_QUERIES]
-                            block = (g.cell * 31 + g.sub + i // PACKED_QUERIES) % int(model.blocks[cell])
+                            block = (g.cell * 31 + g.sub + i // PACKED_QUERIES) % int(blocks[g.collection][cell])
                             out.append((g.collection, cell, sub, block, g.cell, g.sub, some.astype(np.int32).tobytes(), _blob(vecs[some]), least[some].tobytes()))
                 if out:
                     yield pd.DataFrame(out, columns=names)
@@ -453,7 +522,7 @@ def _merge(k: int, min_cos: float):
 
 
 def nearest(
-    sound: DataFrame, k: int = 5, shard_size: int = SHARD_SIZE, probes: int = PROBES, block_size: int = BLOCK_SIZE, min_cos: float = -2.0, exact: bool = False, flat_cells: int = FLAT_CELLS
+    sound: DataFrame, k: int = 5, shard_size: int = SHARD_SIZE, probes: int | None = None, block_size: int = BLOCK_SIZE, min_cos: float = -2.0, exact: bool = False, flat_cells: int = FLAT_CELLS
 ) -> DataFrame:
     """The ``k`` most similar others of every item of its collection: collection, item, other, cos.
 
@@ -467,9 +536,7 @@ def nearest(
     with all classes of its collection instead, which is quadratic work.
     """
     rows = cut_lineage(sound.mapInArrow(_packed, SOUND), "vectors")
-    cells = _fit_cells(rows, shard_size, block_size, probes, flat_cells)
-    if exact:
-        probes = max((c.count for c in cells.values()), default=1)
+    cells = _fit_cells(rows, shard_size, flat_cells)
     members = rows.select("collection", "item", "cls").distinct()
     smallest = Window.partitionBy("collection", "cls").orderBy("item")
     named = (
@@ -477,15 +544,24 @@ def nearest(
         .groupBy("collection", "cls").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     classes = rows.groupBy("collection", "cls").agg(F.min("vec").alias("vec")).join(named, ["collection", "cls"])
-    tasks = sum(int((c.subs * c.blocks).sum()) for c in cells.values())
-    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * tasks)  # so that a task seldom gets two graphs
+    shards = sum(int(c.subs.sum()) for c in cells.values())
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * shards)  # so that a task seldom gets two graphs
     graphs = cut_lineage(
-        classes.mapInPandas(_dealt(cells), "collection string, cls binary, vec binary, items array<string>, cell int, sub int").repartition(width, *PLACE).groupBy(*PLACE).applyInPandas(_build(cells, k, exact), GRAPH),
+        classes.mapInPandas(_dealt(cells), "collection string, cls binary, vec binary, items array<string>, cell int, sub int").repartition(width, *PLACE).groupBy(*PLACE).applyInPandas(_build(k, exact), GRAPH),
         "graphs",
     )
-    asked = graphs.select("collection", "cell", "sub", "counts", "vecs", "own_cos").mapInPandas(_ask(cells, k, probes, min_cos), ASKED)
+    if exact:
+        chosen = {c: m.count for c, m in cells.items()}
+    else:
+        chosen = {c: min(probes, m.count) for c, m in cells.items()} if probes else measured_probes(rows, graphs, cells, k, min_cos)
+    blocks = _blocks(cells, chosen, block_size)
+    asked = graphs.select("collection", "cell", "sub", "counts", "vecs", "own_cos").mapInPandas(_ask(cells, k, chosen, blocks, min_cos), ASKED)
     where = [*PLACE, "block"]
-    targets = graphs.select("collection", "cell", "sub", "classes", "items", "counts", "vecs", "layers", "widths", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    several = [(c, i, int(n)) for c, of in blocks.items() for i, n in enumerate(of) if n > 1]  # at most MAX_CELLS rows a collection
+    dealt = F.broadcast(rows.sparkSession.createDataFrame(several, "collection string, cell int, blocks int"))
+    targets = graphs.select("collection", "cell", "sub", "classes", "items", "counts", "vecs", "layers", "widths").join(dealt, ["collection", "cell"], "left")
+    targets = targets.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    width = max(width, 3 * sum(int((m.subs * blocks[c]).sum()) for c, m in cells.items()))
     hits = targets.repartition(width, *where).groupBy(*where).cogroup(asked.repartition(width, *where).groupBy(*where)).applyInPandas(_search(k, exact), HITS)
     sources = graphs.select("collection", "cell", "sub", "classes", "items", "counts", "own_at", "own_cos")
     answers = sources.groupBy(*PLACE).cogroup(hits.groupBy(*PLACE)).applyInPandas(_merge(k, min_cos), ANSWER)

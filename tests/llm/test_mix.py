@@ -85,3 +85,52 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "x" * 20000)], "i int, t string")
     got = dict(rows(df.select("i", token_count(F.col("t")).alias("n"))))
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and got[5] > 100
+
+
+def test_labels_and_texts_are_weighed(spark):
+    from pyspark.sql import functions as F
+
+    shares = {"a": 0.8, "b": 0.1, "c": 0.1}
+    cases = [([0.2, 0.3, 0.5], "b"), ([0.999998, 0.000001, 0.000001], "b"), ([0.2, 0.3, 0.5], None), ([0.2, 0.3, 0.5], "unknown"), ([0.0, 0.0, 0.0], "a")]
+    df = spark.createDataFrame([(i, m, k) for i, (m, k) in enumerate(cases)], "i int, m array<double>, k string")
+    got = {r["i"]: r["w"] for r in df.select("i", mix.with_label(F.col("m"), F.col("k"), shares, 0.01).alias("w")).collect()}
+    for i, (m, k) in enumerate(cases[:2]):
+        odds = np.array([0.99 + 0.01 * shares[k] if n == k else 0.01 * shares[k] for n in shares]) * m
+        assert got[i] == pytest.approx((odds / odds.sum()).tolist())
+    assert got[0][1] > 0.99 and got[1][0] > 0.9  # a plain text outweighs its label
+    assert got[2] == got[3] == [0.2, 0.3, 0.5] and got[4] == [0.0] * 3
+
+
+def test_every_document_is_judged(spark):
+    docs = documents(spark)
+    got = mix.memberships(docs, ["bigsource", "otherkind", "tiny"]).collect()
+    assert len(got) == docs.count() and all(len(r["membership"]) == 4 and abs(sum(r["membership"]) - 1) < 2e-3 for r in got)
+    soft = [r for r in got if r["k"] is None and r["tokens"] > 0]
+    assert soft and all(r["membership"][0] > 0.5 for r in soft)
+    one = mix.memberships(docs.filter("source = 'tiny' or source is null"), ["tiny"])  # nothing to tell apart
+    assert {tuple(r["membership"]) for r in one.filter("k = 'tiny'").collect()} == {(1.0, 0.0)}
+
+
+def test_rates_meet_the_targets_with_soft_memberships(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.3] * 4, 400).round(3)
+    caps, tokens = rng.choice([1.0, 2.0, 4.0], 400), rng.integers(1, 900, 400)
+    groups = spark.createDataFrame([(m.tolist(), float(c), int(t)) for m, c, t in zip(p, caps, tokens)], "membership array<double>, cap double, tokens bigint")
+    shares = [0.5, 0.3, 0.2, 0.0]
+    steps, total = mix.fit_rates(groups, shares)
+    rates = mix.rates_at(p, caps, steps)
+    assert ((rates >= 0) & (rates <= caps)).all()
+    reached = (rates * tokens) @ p
+    assert np.abs(reached[:3] - total * np.array(shares[:3])).max() < 1e-3 * total
+    assert mix.fit_rates(groups.limit(0), shares)[1] == 0.0 and mix.fit_rates(groups, [0.0] * 4)[1] == 0.0
+
+
+def test_the_fitted_sample_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    cut = mix.cut_lineage
+    monkeypatch.setattr(mix, "cut_lineage", lambda df, label: seen.append((label, cut(df, label))) or seen[-1][1])
+    labelled = documents(spark).filter("source is not null and length(text) > 0").select(F.concat_ws(" ", "text", "doc_id").alias("text"), F.col("source").alias("label"))
+    mix.fit_classifier(labelled, 120)
+    assert 60 < seen[0][1].count() < 200 < labelled.count()

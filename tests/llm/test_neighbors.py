@@ -78,6 +78,17 @@ def test_recall_of_a_full_shard_by_descent(shape):
         assert np.mean([len(set(a) & set(b)) for a, b in zip(true.tolist(), found.tolist())]) / 6 > 0.95
 
 
+def test_measured_probes_reach_the_recall(spark):
+    """Many small cells of vectors without clusters: a fixed small count would lose neighbours."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    data = [("a", f"i{i:04d}", v.tolist(), "") for i, v in enumerate(x)]
+    sound = sound_vectors(spark.createDataFrame(data, VECTOR), 16)
+    want = {(r["item"], r["other"]) for r in nearest(sound, 5, exact=True).collect()}
+    recall = lambda **o: len({(r["item"], r["other"]) for r in nearest(sound, 5, shard_size=200, **o).collect()} & want) / len(want)
+    assert recall() > 0.95 > recall(probes=3)
+
+
 def test_scaled_copies_are_one_group(spark):
     """Copies of one vector at many norms: float32 rounding must not hide them from one another."""
     rng = np.random.default_rng(5)
